@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, gif_media, language_id, packing, pii, quality_classifier, quality_rules, toxicity
+from . import bpe_codec, gif_media, jaccard_join, language_id, packing, pii, quality_classifier, quality_rules, toxicity
 from .storage import table
 
 
@@ -19,6 +19,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op5_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_best_fit_packing, op2_pii, op5_byte_bpe_codec, op6_quality_rules,
+        op1_best_fit_packing, op2_pii, op3_ngram_jaccard_join, op5_byte_bpe_codec, op6_quality_rules,
         op7_toxicity, op8_quality_classifier, op9_language_id, op10_media_columns,
     )
     return {f.__name__: f for f in own}
