@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, gif_media, jaccard_join, language_id, packing, pii, quality_classifier, quality_rules, toxicity
+from . import bpe_codec, gif_media, jaccard_join, language_id, line_templates, packing, pii, quality_classifier, quality_rules, toxicity
 from .storage import table
 
 
@@ -23,6 +23,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -48,10 +52,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_features(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_best_fit_packing, op2_pii, op3_ngram_jaccard_join, op5_byte_bpe_codec, op6_quality_rules,
-        op7_toxicity, op8_quality_classifier, op9_language_id, op10_media_columns,
+        op1_best_fit_packing, op2_pii, op3_ngram_jaccard_join, op4_line_dedup, op5_byte_bpe_codec, op6_quality_rules,
+        op7_toxicity, op8_quality_classifier, op9_language_id, op10_media_columns, pipeline,
     )
     return {f.__name__: f for f in own}
 

@@ -130,7 +130,8 @@ def choose_matches(frequency: np.ndarray, size: int, least: int) -> int:
 def prefixes(docs: DataFrame, size: int, percent: int, frequent: DataFrame) -> DataFrame:
     """doc_id, n, matches and the prefix [(token, salt)] of every document with a shingle.
 
-    A frequent shingle's documents are split by salt into lists of about ``LIST_SHARE``.
+    A frequent shingle's documents are split, by salts from 1 on, into lists of about
+    ``LIST_SHARE``; salt 0 is an undivided list.
     """
     rows = frequent.collect()  # at most FREQUENT rows of two numbers
     table = np.array([r["k1"] for r in rows], np.int64)
@@ -162,7 +163,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: DataFrame) -> D
             shares = -(-frequency[at] // LIST_SHARE)
             ids = np.array([i if i is not None else -1 for i in rows.column("doc_id").to_pylist()], np.int64)
             draw = mix64(ids.view(np.uint64)) >> np.uint64(33)
-            salt = (np.repeat(draw, length) % shares.astype(np.uint64)).astype(np.int32)
+            salt = np.where(shares > 1, 1 + (np.repeat(draw, length) % shares.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
             columns = [
                 rows.column("doc_id"), pa.array(sizes.astype(np.int32)), pa.array(matches.astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(lists), pa.array(values[at])),
