@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import SpanHasher, arrow_map, chunks, code_points, lower_ascii, mix64, word_spans
 from .components import connected_components
-from .storage import checkpointed, written
+from .storage import checkpointed, narrowed, written
 
 #: A speed parameter: how many of the most frequent shingles have their frequency in the order.
 FREQUENT = 50_000
@@ -177,22 +177,31 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: DataFrame) -> D
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    ends = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ends")
-
-    def whole(batches):
-        for rows, texts in chunks(batches, "text"):
-            values, bounds = shingle_sets(texts, size)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists], ["doc_id", "tokens"])
+    """The pairs (a, b) whose whole sets are similar enough.
 
-    needed = docs.select("doc_id", "text").join(ends, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = checkpointed(arrow_map(needed, whole, "doc_id long, tokens array<long>"))
-    one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("left"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("left") + F.size("right")).alias("sizes"), both.alias("both"))
-    return checkpointed(joined.filter(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b"))
+    Only texts of candidates are shuffled, and as texts, which compress better than their sets.
+    """
+    pairs = written(pairs, "pairs")
+    ends = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ends")
+    texts = narrowed(docs.select("doc_id", "text"), ends).join(ends, F.col("doc_id") == F.col("node"), "left_semi")
+
+    def compared(batches):
+        for rows, left in chunks(batches, "left"):
+            right = [text or "" for text in rows.column("right").to_pylist()]
+            one, first = shingle_sets(left, size)
+            two, second = shingle_sets(right, size)
+            alike = np.zeros(len(left), bool)
+            for i in range(len(left)):
+                x, y = one[first[i] : first[i + 1]], two[second[i] : second[i + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                alike[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            kept = rows.filter(pa.array(alike))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
+    return checkpointed(arrow_map(joined, compared, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -231,7 +240,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     heads = shared.filter("salt > 0").select("token").distinct().join(shared.select("token", "hub"), "token").distinct()
     top = heads.groupBy("token").agg(F.min("hub").alias("a"))
     across = heads.join(top, "token").filter(F.col("hub") != F.col("a")).select("a", F.col("hub").alias("b"))
-    first = verified(checkpointed(stars.unionByName(across).distinct()), docs, size, percent)
+    first = verified(stars.unionByName(across).distinct(), docs, size, percent)
     labels = connected_components(first)
 
     # All candidate pairs between different classes: pairs of classes of a list, then members.
@@ -247,7 +256,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     y = placed.select("token", F.col("component").alias("high"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"))
     pairs = meetings.join(x, ["token", "low"]).join(y, ["token", "high"]).filter(alike(F.col("na"), F.col("nb")))
     pairs = pairs.groupBy("a", "b", F.least("ma", "mb").alias("need")).agg(F.count("*").alias("common"))
-    second = verified(checkpointed(pairs.filter("common >= need").select("a", "b")), docs, size, percent)
+    second = verified(pairs.filter("common >= need").select("a", "b"), docs, size, percent)
     links = first.unionByName(second)
 
     # A doc_id with several texts is one node through its classes' representatives.

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bits of the filter that goes before a join with few of the documents; a fixed 1 MB.
+FILTER_BITS = 1 << 23
+
+
+def narrowed(docs: DataFrame, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of ``docs`` whose doc_id may be in ``ids`` (node): all that are, and few others.
+
+    A broadcast bitmap of fixed size, so that a join with part of the documents needn't shuffle
+    the texts of the rest; with very many ids it passes more, and the join does all the work.
+    With ``inside`` false, the other rows, none of which is in ``ids``.
+    """
+    place = F.pmod("node", F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) % 64 as int))")
+    bitmap = ids.groupBy(F.floor(place / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    word = F.floor(F.pmod("doc_id", F.lit(FILTER_BITS)) / 64)
+    hit = F.expr(f"(shiftrightunsigned(_bits, cast(pmod(doc_id, {FILTER_BITS}) % 64 as int)) & 1L) = 1L")
+    return docs.join(F.broadcast(bitmap), (word == F.col("_word")) & hit, "left_semi" if inside else "left_anti")
