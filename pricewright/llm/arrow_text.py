@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_CHARS = 1 << 20
@@ -20,10 +22,25 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` over record batches of a bounded number of bytes."""
+    """``mapInArrow`` over record batches of a bounded number of rows.
+
+    What Python workers get imports this package only once its folder is on their path, so it
+    needn't be where they were started.
+    """
     spark: SparkSession = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return df.mapInArrow(function, schema)
+    root, pickled = str(Path(__file__).resolve().parents[2]), cloudpickle.dumps(function)
+
+    def task(batches):
+        import sys
+
+        from pyspark import cloudpickle
+
+        if root not in sys.path:
+            sys.path.append(root)
+        yield from cloudpickle.loads(pickled)(batches)
+
+    return df.mapInArrow(task, schema)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_CHARS):

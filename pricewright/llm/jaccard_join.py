@@ -30,7 +30,9 @@ FREQUENT = 50_000
 COUNTED = 1 << 21
 FREQUENT_OF_COUNTED = 5_000
 #: Prefixes may ask for that many shared shingles.
-MATCHES = (1, 2, 3, 4, 6, 8)
+MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
+#: Other documents that the cost estimate expects for a shingle not among the frequent ones.
+UNSEEN = 0.2
 #: Documents of a frequent shingle in one window, about.
 LIST_SHARE = 1_000
 
@@ -120,9 +122,9 @@ def choose_matches(frequency: np.ndarray, size: int, least: int) -> int:
     for matches in MATCHES:
         if matches > least:
             break
-        met = float((frequency[: size - least + matches] - 1).sum())
+        met = float(np.maximum(frequency[: size - least + matches] - 1, UNSEEN).sum())
         cost = met + (size - least + matches) + size * met / matches
-        if cheapest is None or cost < 0.8 * cheapest:
+        if cheapest is None or cost < cheapest:
             best, cheapest = matches, cost
     return best
 
@@ -236,7 +238,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
     stars = shared.filter((F.col("doc_id") != F.col("hub")) & alike(F.col("n"), F.col("hub_n")))
     stars = stars.groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "matches").agg(F.count("*").alias("common"))
-    stars = stars.filter("common >= matches").select("a", "b")  # what this leaves out is looked at again below
+    # Each document with the head that it shares most with; what this leaves out is looked at again below.
+    stars = stars.filter("common >= matches").groupBy("b").agg(F.max(F.struct("common", (-F.col("a")).alias("a"))).alias("best"))
+    stars = stars.select((-F.col("best.a")).alias("a"), "b")
     heads = shared.filter("salt > 0").select("token").distinct().join(shared.select("token", "hub"), "token").distinct()
     top = heads.groupBy("token").agg(F.min("hub").alias("a"))
     across = heads.join(top, "token").filter(F.col("hub") != F.col("a")).select("a", F.col("hub").alias("b"))
