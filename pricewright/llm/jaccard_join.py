@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import SpanHasher, arrow_map, chunks, code_points, lower_ascii, mix64, word_spans
@@ -33,6 +33,8 @@ FREQUENT_OF_COUNTED = 5_000
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Other documents that the cost estimate expects for a shingle not among the frequent ones.
 UNSEEN = 0.2
+#: Rounds of star-shaped candidates before all remaining ones; a speed parameter.
+STAR_ROUNDS = 4
 #: Documents of a frequent shingle in one window, about.
 LIST_SHARE = 1_000
 
@@ -206,6 +208,67 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return checkpointed(arrow_map(joined, compared, "a long, b long"))
 
 
+def alike(a: str, b: str, percent: int) -> Column:
+    """No pair of other sizes can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def prefix_length(n: str, matches: str, percent: int) -> Column:
+    return F.col(n) - F.ceil(F.col(n) * percent / 100.0 - 1e-9).cast("int") + F.col(matches)
+
+
+def enough(overlap: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets of these sizes, together, can be similar enough with that overlap."""
+    return (100 + percent) * overlap >= percent * sizes
+
+
+def possible(common: str, one: tuple[str, str], two: tuple[str, str], percent: int) -> Column:
+    """Shingles in both sets are in both prefixes, or beyond the prefix that ends first."""
+    rest = F.greatest(*(F.col(n) - prefix_length(n, m, percent) for n, m in (one, two)))
+    return enough(F.col(common) + rest, F.col(one[0]) + F.col(two[0]), percent)
+
+
+def undecided(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """The members of lists with several classes, with their class, and the pairs of classes in lists."""
+    placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
+    several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    placed = checkpointed(placed.join(several.select("token"), "token", "left_semi"))
+    classes = placed.select("token", "component").distinct().groupBy("token").agg(F.count("*").alias("c"))
+    return placed, classes.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+
+
+def star_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each member with the head of its lists that it shares most with, other classes' heads only."""
+    draw = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("draw"), F.xxhash64("doc_id", F.lit(turn)).alias("own"), "doc_id", "n", "component", "matches", "most"))
+    heads = placed.groupBy("token").agg(draw.alias("h")).select(
+        "token", F.col("h.doc_id").alias("a"), F.col("h.n").alias("na"), F.col("h.component").alias("ca"), F.col("h.matches").alias("ma"), F.col("h.most").alias("mosta")
+    )
+    met = placed.join(heads, "token").filter((F.col("component") != F.col("ca")) & alike("n", "na", percent))
+    met = met.filter(enough(F.least("most", "mosta"), F.col("n") + F.col("na"), percent))
+    met = met.groupBy("a", F.col("doc_id").alias("b"), "n", "na", "matches", "ma").agg(F.count("*").alias("common"))
+    met = met.filter((F.col("common") >= F.least("matches", "ma")) & possible("common", ("n", "matches"), ("na", "ma"), percent))
+    best = met.groupBy("b").agg(F.max(F.struct("common", (-F.col("a")).alias("a"))).alias("best"))
+    return best.select((-F.col("best.a")).alias("a"), "b")
+
+
+def class_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs between different classes: pairs of classes of a list, then their members."""
+    size = lambda side: (F.min("n").alias(f"n{side}"), F.max("n").alias(f"x{side}"), F.max("most").alias(f"most{side}"))
+    left = placed.groupBy("token", F.col("component").alias("low")).agg(*size("l"))
+    right = placed.groupBy("token", F.col("component").alias("high")).agg(*size("h"))
+    able = enough(F.least("mostl", "mosth"), F.col("nl") + F.col("nh"), percent)
+    able &= (100 * F.col("xl") >= percent * F.col("nh")) & (100 * F.col("xh") >= percent * F.col("nl"))
+    meetings = left.join(right, "token").filter((F.col("low") < F.col("high")) & able).select("token", "low", "high")
+    x = placed.select("token", F.col("component").alias("low"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("most").alias("mosta"))
+    y = placed.select("token", F.col("component").alias("high"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("most").alias("mostb"))
+    able = alike("na", "nb", percent) & enough(F.least("mosta", "mostb"), F.col("na") + F.col("nb"), percent)
+    pairs = meetings.join(x, ["token", "low"]).join(y, ["token", "high"]).filter(able)
+    pairs = pairs.groupBy("a", "b", "na", "nb", "ma", "mb").agg(F.count("*").alias("common"))
+    pairs = pairs.filter((F.col("common") >= F.least("ma", "mb")) & possible("common", ("na", "ma"), ("nb", "mb"), percent))
+    return pairs.select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """Link rows of ``docs`` (doc_id, text) whose shingle sets have
     100 * |intersection| >= percent * |union|: doc_id, n_shingles, component_id for each row.
@@ -233,10 +296,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         met.filter("members > 1 or salt > 0").select("token", "salt", "doc_id", "n", "matches", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
     )
 
-    def alike(a, b):  # no pair of such sizes can be similar enough otherwise
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    stars = shared.filter((F.col("doc_id") != F.col("hub")) & alike(F.col("n"), F.col("hub_n")))
+    stars = shared.filter((F.col("doc_id") != F.col("hub")) & alike("n", "hub_n", percent))
     stars = stars.groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "matches").agg(F.count("*").alias("common"))
     # Each document with the head that it shares most with; what this leaves out is looked at again below.
     stars = stars.filter("common >= matches").groupBy("b").agg(F.max(F.struct("common", (-F.col("a")).alias("a"))).alias("best"))
@@ -244,24 +304,22 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     heads = shared.filter("salt > 0").select("token").distinct().join(shared.select("token", "hub"), "token").distinct()
     top = heads.groupBy("token").agg(F.min("hub").alias("a"))
     across = heads.join(top, "token").filter(F.col("hub") != F.col("a")).select("a", F.col("hub").alias("b"))
-    first = verified(stars.unionByName(across).distinct(), docs, size, percent)
-    labels = connected_components(first)
-
-    # All candidate pairs between different classes: pairs of classes of a list, then members.
-    placed = shared.select("token", "doc_id", "n", "matches").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-    open_lists = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    placed = checkpointed(placed.join(open_lists.select("token"), "token", "left_semi"))
-    present = placed.select("token", "component").distinct()
-    left = present.withColumnRenamed("component", "low")
-    right = present.withColumnRenamed("component", "high")
-    meetings = left.join(right, "token").filter("low < high")
-    x = placed.select("token", F.col("component").alias("low"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"))
-    y = placed.select("token", F.col("component").alias("high"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"))
-    pairs = meetings.join(x, ["token", "low"]).join(y, ["token", "high"]).filter(alike(F.col("na"), F.col("nb")))
-    pairs = pairs.groupBy("a", "b", F.least("ma", "mb").alias("need")).agg(F.count("*").alias("common"))
-    second = verified(pairs.filter("common >= need").select("a", "b"), docs, size, percent)
-    links = first.unionByName(second)
+    links = verified(stars.unionByName(across).distinct(), docs, size, percent)
+    # A document's shingles that no list has are shared with nobody: `most` is what others can share.
+    present = shared.groupBy("doc_id").agg(F.count("*").alias("listed"))
+    length = prefix_length("n", "matches", percent)
+    members = shared.select("token", "doc_id", "n", "matches").join(present, "doc_id")
+    members = members.withColumn("most", F.col("n") - F.greatest(length - F.col("listed"), F.lit(0))).drop("listed")
+    placed, left = undecided(members, connected_components(links))
+    # Rounds of other heads join what is alike, at a cost in proportion to the members, while
+    # pairs of classes would be more than the members are; whatever is left, all pairs decide.
+    for turn in range(1, STAR_ROUNDS + 1):
+        if left <= members.count():
+            break
+        found = verified(star_pairs(placed, turn, percent), docs, size, percent)
+        links = checkpointed(links.unionByName(found))
+        placed, left = undecided(members, connected_components(links))
+    links = links.unionByName(verified(class_pairs(placed, percent), docs, size, percent))
 
     # A doc_id with several texts is one node through its classes' representatives.
     own = known.filter("n > 0 and doc_id is not null").select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"])
