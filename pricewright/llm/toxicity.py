@@ -87,6 +87,18 @@ def bags(texts: list[str]) -> Bags:
     return Bags(features.astype(np.int64), codes, sentence, own, begin[heads] - starts[own], end[tails] - starts[own], len(texts))
 
 
+def bags_in_parts(texts: list[str], size: int = 200) -> Bags:
+    """The same bags, made of a few texts at a time to bound memory; words are distinct by part."""
+    parts = [bags(texts[a : a + size]) for a in range(0, len(texts), size)]
+    moved = lambda name, unit: np.concatenate(
+        [getattr(b, name) + sum(unit(c) for c in parts[:i]) for i, b in enumerate(parts)]
+    )
+    return Bags(
+        np.concatenate([b.features for b in parts]), moved("word", lambda b: len(b.features)), moved("sentence", lambda b: len(b.text)),
+        moved("text", lambda b: b.texts), np.concatenate([b.begin for b in parts]), np.concatenate([b.end for b in parts]), len(texts),
+    )
+
+
 def sentence_logits(model: Model, b: Bags) -> np.ndarray:
     value = model.weights[b.features].sum(axis=1)
     return model.bias + np.bincount(b.sentence, weights=value[b.word], minlength=len(b.text))
@@ -150,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = TRAIN_DOCUMENTS,
     counts = np.bincount(y, minlength=2)
     weights = np.array([totals[i] / counts[i] for i in (0, 1)])[y]  # back to the labels' shares
     weights = np.where(y == 1, np.sqrt(weights * weights[y == 1].max()), weights)
-    return fit(bags([r["text"] for r in rows]), y, weights)
+    return fit(bags_in_parts([r["text"] for r in rows]), y, weights)
 
 
 def score_documents(docs: DataFrame, model: Model | None, offending: float = 0.5) -> DataFrame:
