@@ -1 +1,5 @@
+"""Reference queries, each a DataFrame plan with its oracle; importing registers them all."""
 
+from . import catalog, pricing, relations
+
+__all__ = ["catalog", "pricing", "relations"]
