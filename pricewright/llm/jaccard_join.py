@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import SpanHasher, arrow_map, chunks, code_points, lower_ascii, mix64, word_spans
 from .components import connected_components
-from .storage import checkpointed, narrowed, written
+from .storage import Stored, narrowed, stored, written
 
 #: A speed parameter: how many of the most frequent shingles have their frequency in the order.
 FREQUENT = 50_000
@@ -180,14 +180,15 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: DataFrame) -> D
     return arrow_map(docs.select("doc_id", "text"), cut, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Stored:
     """The pairs (a, b) whose whole sets are similar enough.
 
     Only texts of candidates are shuffled, and as texts, which compress better than their sets.
     """
-    pairs = written(pairs, "pairs")
-    ends = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ends")
-    texts = narrowed(docs.select("doc_id", "text"), ends).join(ends, F.col("doc_id") == F.col("node"), "left_semi")
+    asked = stored(pairs, "pairs")
+    pairs = asked.frame
+    ends = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ends")
+    texts = narrowed(docs.select("doc_id", "text"), ends.frame).join(ends.frame, F.col("doc_id") == F.col("node"), "left_semi")
 
     def compared(batches):
         for rows, left in chunks(batches, "left"):
@@ -205,7 +206,10 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return checkpointed(arrow_map(joined, compared, "a long, b long"))
+    links = stored(arrow_map(joined, compared, "a long, b long"), "links")
+    asked.drop()
+    ends.drop()
+    return links
 
 
 def alike(a: str, b: str, percent: int) -> Column:
@@ -228,14 +232,19 @@ def possible(common: str, one: tuple[str, str], two: tuple[str, str], percent: i
     return enough(F.col(common) + rest, F.col(one[0]) + F.col(two[0]), percent)
 
 
-def undecided(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+def undecided(members: DataFrame, labels: DataFrame) -> tuple[Stored, int]:
     """The members of lists with several classes, with their class, and the pairs of classes in lists."""
     placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    placed = checkpointed(placed.join(several.select("token"), "token", "left_semi"))
-    classes = placed.select("token", "component").distinct().groupBy("token").agg(F.count("*").alias("c"))
-    return placed, classes.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+    kept = stored(placed.join(several.select("token"), "token", "left_semi"), "undecided")
+    classes = kept.frame.select("token", "component").distinct().groupBy("token").agg(F.count("*").alias("c"))
+    return kept, classes.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
+
+
+def _label_links(labels: Stored) -> DataFrame:
+    """Each node with its component's name: the same connections in fewer steps."""
+    return labels.frame.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def star_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -279,12 +288,12 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     (null).  Other columns are left aside; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    described = checkpointed(describe(docs, size))
+    described = written(describe(docs, size), "described")
     known = described.filter("kind = 0").select("doc_id", "n", "k1", "k2")
     counted = described.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("n"))
     frequent = counted.orderBy(F.desc("n"), "k1").limit(FREQUENT)
     classes = known.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
-    classes = checkpointed(classes)
+    classes = written(classes, "classes")
     cut = prefixes(docs, size, percent, frequent)
     of_classes = cut.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     posted = of_classes.select("doc_id", "n", "matches", F.explode(F.arrays_zip("tokens", "salts")).alias("p"))
@@ -292,9 +301,11 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     lists = Window.partitionBy("token", "salt")
     met = posted.withColumn("members", F.count("*").over(lists)).withColumn("hub", F.min(F.struct("doc_id", "n")).over(lists))
     # A list of one has nobody to link with, unless it is a share of a longer list.
-    shared = checkpointed(
-        met.filter("members > 1 or salt > 0").select("token", "salt", "doc_id", "n", "matches", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shares = stored(
+        met.filter("members > 1 or salt > 0").select("token", "salt", "doc_id", "n", "matches", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")),
+        "lists",
     )
+    shared = shares.frame
 
     stars = shared.filter((F.col("doc_id") != F.col("hub")) & alike("n", "hub_n", percent))
     stars = stars.groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "matches").agg(F.count("*").alias("common"))
@@ -304,29 +315,40 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     heads = shared.filter("salt > 0").select("token").distinct().join(shared.select("token", "hub"), "token").distinct()
     top = heads.groupBy("token").agg(F.min("hub").alias("a"))
     across = heads.join(top, "token").filter(F.col("hub") != F.col("a")).select("a", F.col("hub").alias("b"))
-    links = verified(stars.unionByName(across).distinct(), docs, size, percent)
+    links = verified(stars.unionByName(across).distinct(), docs, size, percent).frame
     # A document's shingles that no list has are shared with nobody: `most` is what others can share.
     present = shared.groupBy("doc_id").agg(F.count("*").alias("listed"))
     length = prefix_length("n", "matches", percent)
     members = shared.select("token", "doc_id", "n", "matches").join(present, "doc_id")
     members = members.withColumn("most", F.col("n") - F.greatest(length - F.col("listed"), F.lit(0))).drop("listed")
-    placed, left = undecided(members, connected_components(links))
+    labels = connected_components(links, rounds=3)
+    placed, pairs = undecided(members, labels.frame)
+    amount = shared.count()
+    shares.drop()
     # Rounds of other heads join what is alike, at a cost in proportion to the members, while
     # pairs of classes would be more than the members are; whatever is left, all pairs decide.
+    # A list of one class stays one, so each round looks only at what the last one left.  Classes
+    # that a few rounds of labels leave apart cost time only: the last components have all links.
     for turn in range(1, STAR_ROUNDS + 1):
-        if left <= members.count():
+        if pairs <= amount:
             break
-        found = verified(star_pairs(placed, turn, percent), docs, size, percent)
-        links = checkpointed(links.unionByName(found))
-        placed, left = undecided(members, connected_components(links))
-    links = links.unionByName(verified(class_pairs(placed, percent), docs, size, percent))
+        found = verified(star_pairs(placed.frame, turn, percent), docs, size, percent).frame
+        links = links.unionByName(found)
+        before, held = placed, labels
+        labels = connected_components(found.unionByName(_label_links(held)), rounds=2)
+        held.drop()
+        placed, pairs = undecided(before.frame.drop("component"), labels.frame)
+        before.drop()
+    links = links.unionByName(verified(class_pairs(placed.frame, percent), docs, size, percent).frame)
+    links = links.unionByName(_label_links(labels))
+    placed.drop()
 
     # A doc_id with several texts is one node through its classes' representatives.
     own = known.filter("n > 0 and doc_id is not null").select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"])
     twice = known.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("k"), F.max("k1").alias("l")).filter("k < l")
     bridges = own.join(twice.select("doc_id"), "doc_id", "left_semi").filter(F.col("doc_id") != F.col("node"))
     links = links.unionByName(bridges.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    labels = connected_components(links)
+    labels = connected_components(links).frame
     named = classes.join(labels, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
     return (
         known.join(named, ["k1", "k2", "n"], "left")

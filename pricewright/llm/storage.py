@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +23,54 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """What runs inside drops its shuffle files at its end: its result is in the shared folder then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_released(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage's rows as Parquet in the shared folder and read them back."""
+@dataclass(frozen=True)
+class Stored:
+    """A stage's rows as Parquet in the shared folder, until they are dropped."""
+
+    frame: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        """Delete the files; nothing that is still to run may read them."""
+        spark = self.frame.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str) -> Stored:
+    """Write a stage's rows as Parquet in the shared folder, to be dropped when others replace them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    with _shuffles_released(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return Stored(spark.read.parquet(path), path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage's rows as Parquet in the shared folder and read them back."""
+    return stored(df, name).frame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
