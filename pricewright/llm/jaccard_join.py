@@ -34,7 +34,7 @@ MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Other documents that the cost estimate expects for a shingle not among the frequent ones.
 UNSEEN = 0.2
 #: Rounds of star-shaped candidates before all remaining ones; a speed parameter.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 #: Documents of a frequent shingle in one window, about.
 LIST_SHARE = 1_000
 
@@ -187,8 +187,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Stor
     """
     asked = stored(pairs, "pairs")
     pairs = asked.frame
-    ends = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ends")
-    texts = narrowed(docs.select("doc_id", "text"), ends.frame).join(ends.frame, F.col("doc_id") == F.col("node"), "left_semi")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    texts = narrowed(docs.select("doc_id", "text"), ends).join(ends, F.col("doc_id") == F.col("node"), "left_semi")
 
     def compared(batches):
         for rows, left in chunks(batches, "left"):
@@ -208,7 +208,6 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Stor
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
     links = stored(arrow_map(joined, compared, "a long, b long"), "links")
     asked.drop()
-    ends.drop()
     return links
 
 
