@@ -4,9 +4,10 @@ A line's path in the tree is its number of tokens and its first ``DEPTH`` tokens
 with a digit are variable (``<*>``).  Lines on one path form a leaf.  The leaf's template has at
 each position the token that most of the leaf's distinct lines share, or ``<*>`` where none has
 ``SHARE`` of them; a line belongs to it if it agrees at ``ALIKE`` of the positions.  A line of
-its own wording (variable tokens aside) is a template by itself.  A template found in at least
-``MIN_DOCS`` documents recurs: its lines are dropped, except in the document of the smallest
-doc_id, so nothing is lost from the corpus and a first copy stays whole.
+its own wording (variable tokens aside) is a template by itself.  A wording found in a second
+document recurs, and so does a leaf's template found in at least ``MIN_DOCS`` documents: its
+lines are dropped, except in the document of the smallest doc_id, so nothing is lost from the
+corpus and a first copy stays whole.
 
 Unlike an online parser the result doesn't depend on the order of lines: all of it is sums by
 path, by position and by template, combined before each shuffle.
@@ -88,7 +89,7 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS, share: float
     """(wording, keeper) of every wording that is dropped: keeper is the doc_id that keeps it."""
     lines = docs.filter(F.col("doc_id").isNotNull())
     found = checkpointed(
-        _line_rows(lines, False).groupBy("path", "wording").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"))
+        _line_rows(lines, False).groupBy("path", "wording").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
     )
     leaves = found.groupBy("path").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("wordings"))
     leaves = written(leaves.filter((F.col("leaf_docs") >= min_docs) & (F.col("wordings") > 1)), "template-leaves")
@@ -112,7 +113,7 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS, share: float
     wholes = grouped.groupBy("path").agg(F.sum("docs").alias("all_docs"), F.min("keeper").alias("first"))
     general = grouped.select("path", "wording").join(wholes.filter(F.col("all_docs") >= min_docs), "path")
     return checkpointed(
-        found.filter(F.col("docs") >= min_docs).select("wording", "keeper")
+        found.filter(F.col("keeper") < F.col("last")).select("wording", "keeper")
         .unionByName(general.select("wording", F.col("first").alias("keeper")))
         .groupBy("wording").agg(F.min("keeper").alias("keeper"))
     )

@@ -146,6 +146,14 @@ def test_lines(spark, awkward, empty):
     assert line_templates.line_report(awkward).count() == len(AWKWARD) and line_templates.line_report(empty).count() == 0
 
 
+def test_line_in_two_documents_is_kept_once(spark):
+    passage = " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    rows = [(1, f"{passage}\nfirst text alone"), (2, f"second text alone\n{passage}"), (3, "third text alone"), (4, "said twice here"), (4, "said twice here")]
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = sorted((r["doc_id"], r["text"]) for r in got.collect())
+    assert texts == [(1, rows[0][1]), (2, "second text alone"), (3, "third text alone"), (4, "said twice here"), (4, "said twice here")]
+
+
 def test_quality_rules_are_those_of_brute_force(awkward, empty):
     random.seed(5)
     parts = ["a ", "b ", "cc ", "\n", "é ", "| "]
