@@ -1,13 +1,17 @@
 """Line deduplication by log templates: a fixed-depth parse tree over the lines of all documents.
 
 A line's path in the tree is its number of tokens and its first ``DEPTH`` tokens, where tokens
-with a digit are variable (``<*>``).  Lines on one path form a leaf.  The leaf's template has at
-each position the token that most of the leaf's distinct lines share, or ``<*>`` where none has
-``SHARE`` of them; a line belongs to it if it agrees at ``ALIKE`` of the positions.  A line of
-its own wording (variable tokens aside) is a template by itself.  A wording found in a second
-document recurs, and so does a leaf's template found in at least ``MIN_DOCS`` documents: its
-lines are dropped, except in the document of the smallest doc_id, so nothing is lost from the
-corpus and a first copy stays whole.
+with a digit are variable (``<*>``).  A line with fewer than ``MIN_SAME`` other tokens, or with
+more variable tokens than others, such as a row of numbers, has none: its tokens stay as they are.
+Lines on one path form a leaf.  The leaf's template has at each position the token that most of
+the leaf's distinct lines share, or none where no token has ``SHARE`` of them.  What the path
+fixes tells nothing, so a line belongs to the template by the tokens after it: ``MIN_SAME`` of
+them at least, and ``ALIKE`` of those that aren't variable in both, are the template's.  A line
+of its own wording (variable tokens aside) is a template by itself.  A wording found in a second
+document recurs, and so does a leaf's template whose lines are in at least ``MIN_DOCS`` documents
+(distinct doc_ids): its lines are dropped, except in the document of the smallest doc_id, so a
+first copy stays whole.  What another document's line has at the template's open positions is
+dropped with it.
 
 Unlike an online parser the result doesn't depend on the order of lines: all of it is sums by
 path, by position and by template, combined before each shuffle.
@@ -28,6 +32,7 @@ MIN_TOKENS = 3
 MIN_DOCS = 3
 SHARE = 0.3
 ALIKE = 0.6
+MIN_SAME = 2
 #: The hash of a variable token.
 VARIABLE = np.uint64(0x2A2A2A2A2A2A2A2A)
 
@@ -40,10 +45,14 @@ def parsed_lines(texts: list[str], depth: int = DEPTH, least: int = MIN_TOKENS):
     tokens = hasher(begin, end)
     digits = np.zeros(len(points) + 1, np.int64)
     np.cumsum((points >= 48) & (points <= 57), out=digits[1:])
-    tokens[digits[end] > digits[begin]] = VARIABLE
+    variable = digits[end] > digits[begin]
     line_begin, line_end, text = line_spans(points, starts)
     first = np.searchsorted(begin, line_begin)
     size = np.searchsorted(begin, line_end) - first
+    counted = np.concatenate([[0], np.cumsum(variable)])
+    others = size - (counted[first + size] - counted[first])
+    loose = (others < MIN_SAME) | (2 * others < size)
+    tokens[variable & ~np.repeat(loose, size)] = VARIABLE
     number = np.arange(len(text)) - np.searchsorted(text, text)
     kept = size >= max(least, 1)
     first, size, text, number = first[kept], size[kept], text[kept], number[kept]
@@ -62,11 +71,15 @@ def parsed_lines(texts: list[str], depth: int = DEPTH, least: int = MIN_TOKENS):
 
 
 def _line_rows(docs: DataFrame, with_tokens: bool) -> DataFrame:
-    """doc_id, path and wording of each distinct wording of a document; tokens (32-bit) if asked for."""
+    """doc_id, path and wording of each distinct wording of a document; tokens (32-bit) if asked for.
+
+    With tokens, only lines that a general template can hold.
+    """
+    least = DEPTH + MIN_SAME + 1 if with_tokens else MIN_TOKENS
 
     def rows_of(batches):
         for rows, texts in chunks(batches, "text"):
-            text, _, path, wording, tokens, bounds = parsed_lines(texts)
+            text, _, path, wording, tokens, bounds = parsed_lines(texts, least=least)
             order = np.lexsort((path, wording, text))
             new = np.ones(len(order), bool)
             new[1:] = (text[order][1:] != text[order][:-1]) | (wording[order][1:] != wording[order][:-1])
@@ -86,7 +99,7 @@ def _line_rows(docs: DataFrame, with_tokens: bool) -> DataFrame:
 
 
 def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, alike: float = ALIKE) -> DataFrame:
-    """(wording, keeper) of every wording that is dropped: keeper is the doc_id that keeps it."""
+    """(doc_id, wording, keeper) of every line whose template recurs: keeper is the doc_id that keeps it."""
     lines = docs.filter(F.col("doc_id").isNotNull())
     found = checkpointed(
         _line_rows(lines, False).groupBy("path", "wording").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
@@ -102,37 +115,40 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS, share: float
     )
     members = checkpointed(members)
     variable = F.lit(int(np.uint32(VARIABLE & np.uint64(0xFFFFFFFF)).view(np.int32)))
-    cells = members.select("path", "wordings", F.posexplode("tokens").alias("place", "token")).filter(F.col("token") != variable)
+    cells = members.select("path", "wordings", F.posexplode("tokens").alias("place", "token")).filter((F.col("token") != variable) & (F.col("place") >= DEPTH))
     cells = cells.groupBy("path", "place", "token", "wordings").agg(F.count("*").alias("n"))
     cells = cells.filter(F.col("n") >= F.greatest(F.lit(2), F.col("wordings") * share))
     constant = cells.groupBy("path", "place").agg(F.max(F.struct("n", "token")).alias("top"))
     # A leaf's positions are as many as its lines have tokens.
     templates = constant.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("place", "top.token"))).alias("constants"))
-    matched = members.join(templates, "path").withColumn("agree", _agreement(variable)).filter(F.col("agree") >= alike * F.size("tokens"))
-    grouped = matched.select("path", "wording").join(found, ["path", "wording"])
-    wholes = grouped.groupBy("path").agg(F.sum("docs").alias("all_docs"), F.min("keeper").alias("first"))
-    general = grouped.select("path", "wording").join(wholes.filter(F.col("all_docs") >= min_docs), "path")
-    return checkpointed(
-        found.filter(F.col("keeper") < F.col("last")).select("wording", "keeper")
-        .unionByName(general.select("wording", F.col("first").alias("keeper")))
-        .groupBy("wording").agg(F.min("keeper").alias("keeper"))
+    found_same, decided = _agreement(variable)
+    matched = members.join(templates, "path").filter((found_same >= MIN_SAME) & (found_same >= alike * decided)).select("path", "wording")
+    whole = found.filter(F.col("keeper") < F.col("last")).select("wording", "keeper")
+    recurring = (
+        whole.withColumn("leaf", F.lit(None).cast("long"))
+        .unionByName(matched.select("wording", F.lit(None).cast("long").alias("keeper"), F.col("path").alias("leaf")))
+        .groupBy("wording").agg(F.min("keeper").alias("keeper"), F.min("leaf").alias("leaf"))
     )
+    hits = written(_line_rows(lines, False).select("doc_id", "wording").join(recurring, "wording"), "template-lines")
+    several = hits.filter(F.col("leaf").isNotNull())
+    general = several.groupBy("leaf").agg(F.count_distinct("doc_id").alias("all_docs"), F.min("doc_id").alias("first"))
+    general = general.filter(F.col("all_docs") >= min_docs).select("leaf", "first")
+    alone = hits.filter(F.col("leaf").isNull()).select("doc_id", "wording", "keeper")
+    return alone.unionByName(several.join(general, "leaf", "left").select("doc_id", "wording", F.least("keeper", "first").alias("keeper")))
 
 
-def _agreement(variable: Column) -> Column:
-    """Positions where a line has its leaf's token, or where both are variable."""
-    return F.aggregate(
-        F.transform("tokens", lambda token, place: F.when(F.element_at("constants", place) == token, 1).otherwise(F.when(token == variable, 1).otherwise(0))),
-        F.lit(0),
-        lambda total, one: total + one,
-    )
+def _agreement(variable: Column) -> tuple[Column, Column]:
+    """Positions after the path where a line has its leaf's token, and those that aren't open in both."""
+    places = F.sequence(F.lit(DEPTH), F.size("tokens") - 1)
+    own, constant = lambda place: F.get("tokens", place), lambda place: F.element_at("constants", place)
+    same = F.size(F.filter(places, lambda place: F.coalesce(own(place) == constant(place), F.lit(False))))
+    both_open = F.size(F.filter(places, lambda place: (own(place) == variable) & constant(place).isNull()))
+    return same, F.size(places) - both_open
 
 
 def dropped_lines(docs: DataFrame, **settings) -> DataFrame:
     """doc_id and the wordings that are dropped from it, one row for each document with any."""
-    templates = recurring_templates(docs, **settings)
-    lines = _line_rows(docs.filter(F.col("doc_id").isNotNull()), False)
-    hits = lines.join(templates, "wording").filter(F.col("doc_id") != F.col("keeper"))
+    hits = recurring_templates(docs, **settings).filter(F.col("doc_id") != F.col("keeper"))
     return hits.groupBy("doc_id").agg(F.collect_set("wording").alias("dropped"))
 
 

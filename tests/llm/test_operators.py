@@ -154,6 +154,18 @@ def test_line_in_two_documents_is_kept_once(spark):
     assert texts == [(1, rows[0][1]), (2, "second text alone"), (3, "third text alone"), (4, "said twice here"), (4, "said twice here")]
 
 
+def test_lines_that_only_share_their_opening_stay(spark):
+    endings = ["came home", "went away", "stood still", "ran off", "fell down"]
+    clean = [f"In the end {e}\nIn the end she\n{n} {n + 7} {n * 3}\nTotal {n} {n + 1} {n + 2}" for n, e in enumerate(endings)]
+    clean = [text.replace(" she\n", f" {'abcde'[n]}\n") for n, text in enumerate(clean)]
+    # Two documents with two variants each of one template; with a third it recurs.
+    notice = lambda who: f"Posted today by {who} on a day"
+    rows = list(enumerate(clean)) + [(10, f"{notice('al')}\n{notice('bo')}"), (11, f"{notice('cy')}\n{notice('di')}\nlast"), (12, "7 8 9\n7 8 9"), (13, "7 8 9\nnot 8")]
+    make = lambda rows: {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert make(rows) == {**dict(rows), 13: "not 8"}
+    assert make([*rows, (14, f"{notice('ed')}\nend")]) == {**dict(rows), 13: "not 8", 11: "last", 14: "end"}
+
+
 def test_quality_rules_are_those_of_brute_force(awkward, empty):
     random.seed(5)
     parts = ["a ", "b ", "cc ", "\n", "é ", "| "]
