@@ -225,12 +225,13 @@ def sort_page(d: Domain) -> DataFrame:
     return d.products.select("product_id", "title", "price").orderBy(F.desc_nulls_last("price"), "product_id").offset(20).limit(50)
 
 
-@query("""SELECT 'history' AS kind, product_id AS entity_id, recorded_at AS happened_at FROM observations WHERE product_id < 20
-  UNION ALL SELECT event_type, user_id, ts FROM events WHERE user_id < 20""")
+@query("""SELECT 'history' AS kind, product_id AS entity_id, recorded_at AS happened_at FROM observations
+  UNION ALL SELECT event_type, user_id, ts FROM events ORDER BY happened_at DESC NULLS LAST, kind, entity_id""")
 def set_timeline(d: Domain) -> DataFrame:
-    history = d.observations.filter("product_id < 20").select(F.lit("history").alias("kind"), F.col("product_id").alias("entity_id"), F.col("recorded_at").alias("happened_at"))
-    events = d.table("events").filter("user_id < 20").select(F.col("event_type").alias("kind"), F.col("user_id").alias("entity_id"), F.col("ts").alias("happened_at"))
-    return history.unionByName(events)
+    """All price history and events, latest first."""
+    history = d.observations.select(F.lit("history").alias("kind"), F.col("product_id").alias("entity_id"), F.col("recorded_at").alias("happened_at"))
+    events = d.table("events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("entity_id"), F.col("ts").alias("happened_at"))
+    return history.unionByName(events).orderBy(F.desc_nulls_last("happened_at"), "kind", "entity_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS copies, min(l_extendedprice) AS winner FROM lineitem GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""", domain=False)

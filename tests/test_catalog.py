@@ -32,3 +32,11 @@ def test_rows(spark, name):
     assert sorted(at) == names
     want = sorted((tuple(plain(r[at[c]]) for c in names) for r in result.fetchall()), key=repr)
     assert got == want
+
+
+def test_timeline_is_whole_and_latest_first(spark):
+    rows = catalog.QUERIES["set_timeline"](spark, DATA).collect()
+    whole = spark.read.parquet(f"{DATA}/lineitem.parquet").filter("l_quantity > 0").count() + spark.read.parquet(f"{DATA}/events.parquet").count()
+    assert len(rows) == whole
+    at = [r["happened_at"] for r in rows]
+    assert at == sorted(at, reverse=True)
