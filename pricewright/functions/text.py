@@ -22,11 +22,27 @@ def content_hash(c: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "[ \t]+", " ")), 256)
 
 
+#: What is redacted, in this order: headers, bearer tokens, quoted and bare values of secret keys,
+#: query parameters, values of password and token fields, email addresses.
+REDACTIONS = (
+    (r"(?i)(^|[^a-z0-9_])((?:authorization|cookie|set-cookie)[ \t\r\n]*:)[ \t\r\n]*[^\r\n]+", "$1$2 [REDACTED]"),
+    (r"(?i)bearer[ \t\r\n]+[a-z0-9._~+/-]+=*", "Bearer [REDACTED]"),
+    (r"""(?i)((?:api[_-]?key|passwd|password|secret|token|session|csrf)["']?[ \t\r\n]*[:=][ \t\r\n]*)["'][^"']*["']""", '$1"[REDACTED]"'),
+    (r"""(?i)((?:api[_-]?key|passwd|password|secret|token|session|csrf)["']? *[:=] *)["']?(?:[^ \n,;&"'\[]|\[[^R \n]|\[R[^E \n])[^ \n,;&]*""", "$1[REDACTED]"),
+    (r"""(?i)([?&](?:token|key|secret|password|session|auth|code)=)[^&# \t\r\n"']+""", "$1[REDACTED]"),
+    (
+        r"""(?i)(<input[^a-z0-9_>](?:[^>]*[^a-z0-9_>])?(?:type=["']password["']|name=["'][^"']*(?:token|secret|password|session)[^"']*["'])(?:[^>]*[^a-z0-9_>])?value=["'])[^"']*(["'])""",
+        "$1[REDACTED]$2",
+    ),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]"),
+)
+
+
 def redacted(c: Column) -> Column:
-    """Bearer tokens, key=value secrets and email addresses replaced."""
-    c = F.regexp_replace(c, r"(?i)bearer [a-z0-9._~+/-]+=*", "Bearer [REDACTED]")
-    c = F.regexp_replace(c, r"(?i)(api[_-]?key|password|secret|token)( *[:=] *)[^ \n,;&]+", "$1$2[REDACTED]")
-    return F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED_EMAIL]")
+    """Secrets in headers, key and value pairs, addresses and input fields, and email addresses replaced."""
+    for pattern, by in REDACTIONS:
+        c = F.regexp_replace(c, pattern, by)
+    return c
 
 
 def host_of(url: Column) -> Column:

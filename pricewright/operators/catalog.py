@@ -251,8 +251,16 @@ def fn_content_hash(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '(?i)bearer [a-z0-9._~+/-]+=*', 'Bearer [REDACTED]', 'g'),
-  '(?i)(api[_-]?key|password|secret|token)( *[:=] *)[^ \n,;&]+', '\1\2[REDACTED]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g')) AS redacted_hash FROM documents""", domain=False)
+SANITIZED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  '(?i)(^|[^a-z0-9_])((?:authorization|cookie|set-cookie)[ \t\r\n]*:)[ \t\r\n]*[^\r\n]+', '\1\2 [REDACTED]', 'g'), '(?i)bearer[ \t\r\n]+[a-z0-9._~+/-]+=*', 'Bearer [REDACTED]', 'g'),
+  '(?i)((?:api[_-]?key|passwd|password|secret|token|session|csrf)["'']?[ \t\r\n]*[:=][ \t\r\n]*)["''][^"'']*["'']', '\1"[REDACTED]"', 'g'),
+  '(?i)((?:api[_-]?key|passwd|password|secret|token|session|csrf)["'']? *[:=] *)["'']?(?:[^ \n,;&"''\[]|\[[^R \n]|\[R[^E \n])[^ \n,;&]*', '\1[REDACTED]', 'g'),
+  '(?i)([?&](?:token|key|secret|password|session|auth|code)=)[^&# \t\r\n"'']+', '\1[REDACTED]', 'g'),
+  '(?i)(<input[^a-z0-9_>](?:[^>]*[^a-z0-9_>])?(?:type=["'']password["'']|name=["''][^"'']*(?:token|secret|password|session)[^"'']*["''])(?:[^>]*[^a-z0-9_>])?value=["''])[^"'']*(["''])', '\1[REDACTED]\2', 'g'),
+  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g')"""
+
+
+@query(f"SELECT doc_id, sha256({SANITIZED}) AS redacted_hash FROM documents", domain=False)
 def fn_sanitize(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", F.sha2(text.redacted(F.col("text")), 256).alias("redacted_hash"))
 

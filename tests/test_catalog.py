@@ -6,6 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from pricewright.functions import text as texts
 from pricewright.operators import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -40,3 +43,21 @@ def test_timeline_is_whole_and_latest_first(spark):
     assert len(rows) == whole
     at = [r["happened_at"] for r in rows]
     assert at == sorted(at, reverse=True)
+
+
+SECRETS = [
+    ("Authorization: Basic dXNlcjpw", "Authorization: [REDACTED]"), ("a\nCookie: sid=1; b=2\nnext", "a\nCookie: [REDACTED]\nnext"), ("Set-Cookie: sid=9", "Set-Cookie: [REDACTED]"),
+    ("bearer abc.def== x", "Bearer [REDACTED] x"), ('{"password": "x y"}', '{"password": "[REDACTED]"}'), ("'csrf':'q'", "'csrf':\"[REDACTED]\""), ('session = "s1"', 'session = "[REDACTED]"'),
+    ("passwd=hunter2 on", "passwd=[REDACTED] on"), ('client_secret: "open', "client_secret: [REDACTED]"), ("api_key=[abc] z", "api_key=[REDACTED] z"),
+    ("https://a.b/?key=k1&x=2&code=c3#f", "https://a.b/?key=[REDACTED]&x=2&code=[REDACTED]#f"), ("?auth=z&session=y", "?auth=[REDACTED]&session=[REDACTED]"),
+    ('<input type="password" value="p">', '<input type="password" value="[REDACTED]">'), ("<input name='my_token' id=a value='t'>", "<input name='my_token' id=a value='[REDACTED]'>"),
+    ("to jo@ex.org", "to [REDACTED_EMAIL]"), ("the secret garden; a cookie, a key", "the secret garden; a cookie, a key"), ("", ""), (None, None),
+]
+
+
+def test_redactions(spark):
+    got = spark.createDataFrame(list(enumerate(s for s, _ in SECRETS)), "n int, s string").select("n", texts.redacted(F.col("s")).alias("r")).orderBy("n").collect()
+    assert [r["r"] for r in got] == [want for _, want in SECRETS]
+    con = duckdb.connect()
+    for shown, want in SECRETS:
+        assert con.execute(f"SELECT {catalog.SANITIZED} FROM (SELECT ?::VARCHAR AS text)", [shown]).fetchone()[0] == want
