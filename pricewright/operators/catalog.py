@@ -51,14 +51,22 @@ def market_position(d: Domain) -> DataFrame:
     )
 
 
-@query(SNAPSHOTS + f"""SELECT user_id, count(*) AS products, count(*) FILTER (WHERE pos = 'LEADING') AS leading_products, count(*) FILTER (WHERE pos = 'COMPETITIVE') AS competitive_products,
-  count(*) FILTER (WHERE pos = 'OVERPRICED') AS overpriced_products, count(*) FILTER (WHERE pos = 'INSUFFICIENT_DATA') AS unknown_products
-  FROM (SELECT user_id, {POSITION} AS pos FROM products p LEFT JOIN snapshots s ON p.product_id = s.product_id WHERE is_tracked) GROUP BY 1""")
+@query(SNAPSHOTS + f""", analysed AS (SELECT user_id, {POSITION} AS pos, avg_price > 0 AND cost_price > 0 AND
+    floor(avg_price * CASE WHEN user_id * 10 - 5 >= 0 AND user_id * 10 - 5 < 100 THEN 1 - (user_id * 10 - 5)::DOUBLE / 100 ELSE 0.95::DOUBLE END * 100 + 0.5::DOUBLE) / 100
+    < floor(cost_price * CASE WHEN user_id * 8 < 100 THEN 1 / (1 - (user_id * 8)::DOUBLE / 100) ELSE 1.1::DOUBLE END * 100 + 0.5::DOUBLE) / 100 AS margin_protected
+    FROM products p LEFT JOIN snapshots s ON p.product_id = s.product_id WHERE is_tracked)
+  SELECT user_id, count(*) AS products, count(*) FILTER (WHERE pos = 'LEADING') AS leading_products, count(*) FILTER (WHERE pos = 'COMPETITIVE') AS competitive_products,
+  count(*) FILTER (WHERE pos = 'OVERPRICED') AS overpriced_products, count(*) FILTER (WHERE pos = 'INSUFFICIENT_DATA') AS unknown_products,
+  count(*) FILTER (WHERE margin_protected) AS margin_protected_products FROM analysed GROUP BY 1""")
 def agg_dashboard_stats(d: Domain) -> DataFrame:
-    pos = money.position(F.col("price"), F.col("avg_price"))
-    rows = d.products.filter("is_tracked").join(d.snapshots, "product_id", "left").select("user_id", pos.alias("pos"))
+    """Tracked products by position, and those whose recommendation is held up by the account's margin."""
+    pos, average = money.position(F.col("price"), F.col("avg_price")), F.col("avg_price")
+    floor = money.floor_price(F.col("cost_price"), money.margin_factor(F.col("user_id") * 8))
+    held = (average > 0) & (money.round2(average * money.undercut_factor(F.col("user_id") * 10 - 5)) < floor)
+    rows = d.products.filter("is_tracked").join(d.snapshots, "product_id", "left").select("user_id", pos.alias("pos"), held.alias("held"))
     kinds = {"leading": "LEADING", "competitive": "COMPETITIVE", "overpriced": "OVERPRICED", "unknown": "INSUFFICIENT_DATA"}
-    return rows.groupBy("user_id").agg(F.count("*").alias("products"), *(F.count_if(F.col("pos") == v).alias(f"{k}_products") for k, v in kinds.items()))
+    counts = (F.count_if(F.col("pos") == v).alias(f"{k}_products") for k, v in kinds.items())
+    return rows.groupBy("user_id").agg(F.count("*").alias("products"), *counts, F.count_if("held").alias("margin_protected_products"))
 
 
 @query("""SELECT product_id, competitor_id, price, updated_at FROM links WHERE match_method IS NULL OR match_method <> 'auto-generated'""")
@@ -117,9 +125,23 @@ def agg_tracked_count(d: Domain) -> DataFrame:
     return d.competitors.join(counted, "competitor_id", "left").select("competitor_id", F.coalesce("n", F.lit(0)).alias("tracked"))
 
 
-@query("""SELECT product_id, count(*) AS observations, min(price) AS min_price, max(price) AS max_price FROM observations GROUP BY 1""")
+@query("""SELECT p.product_id, p.price AS current_price, coalesce(n, 0) AS observations, coalesce(lowest, 0) AS min_price, coalesce(highest, 0) AS max_price, coalesce(average, 0) AS avg_price, latest_recorded_at
+  FROM products p LEFT JOIN (SELECT product_id, count(*) AS n, min(price) AS lowest, max(price) AS highest, floor(sum(floor(price * 100 + 0.5::DOUBLE)) / count(*) + 0.5::DOUBLE) / 100 AS average
+    FROM observations WHERE recorded_at >= (SELECT max(recorded_at) FROM observations) - INTERVAL 30 DAY GROUP BY 1) s ON s.product_id = p.product_id
+  LEFT JOIN (SELECT product_id, max(recorded_at) AS latest_recorded_at FROM observations GROUP BY 1) l ON l.product_id = p.product_id""")
 def agg_price_summary(d: Domain) -> DataFrame:
-    return d.observations.groupBy("product_id").agg(F.count("*").alias("observations"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    """Each product's prices in the 30 days up to the last observation of all, none as 0, and its own latest time."""
+    now = d.observations.agg(F.max("recorded_at").alias("now"))
+    recent = F.col("recorded_at") >= F.col("now") - F.expr("interval 30 days")
+    rows = d.observations.crossJoin(F.broadcast(now)).select("product_id", "recorded_at", F.when(recent, F.col("price")).alias("recent"))
+    average = F.floor(F.sum(F.floor(F.col("recent") * 100 + 0.5)) / F.count("recent") + 0.5).cast("double") / 100
+    summary = rows.groupBy("product_id").agg(
+        F.count("recent").alias("n"), F.min("recent").alias("lowest"), F.max("recent").alias("highest"),
+        F.when(F.count("recent") > 0, average).alias("average"), F.max("recorded_at").alias("latest_recorded_at"),
+    )
+    shown = {"n": "observations", "lowest": "min_price", "highest": "max_price", "average": "avg_price"}
+    zeros = (F.coalesce(c, F.lit(0)).alias(name) for c, name in shown.items())
+    return d.products.join(summary, "product_id", "left").select("product_id", F.col("price").alias("current_price"), *zeros, "latest_recorded_at")
 
 
 @query("""SELECT product_id, date_trunc('month', recorded_at)::TIMESTAMP AS month, count(*) AS n, floor(sum(floor(price * 100 + 0.5::DOUBLE)) / count(*) + 0.5::DOUBLE) / 100 AS avg_price,
@@ -136,9 +158,25 @@ def agg_product_stats(d: Domain) -> DataFrame:
     return d.products.groupBy("category").agg(F.count("*").alias("products"), F.count_if("is_tracked").alias("tracked"), average.alias("avg_price"))
 
 
-@query("""SELECT count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'inactive') AS inactive, count(*) FILTER (WHERE status = 'error') AS error FROM competitors""")
+ACCOUNTS = """, followed AS (SELECT user_id, competitor_id, status FROM (SELECT DISTINCT user_id FROM products) CROSS JOIN competitors WHERE (competitor_id + user_id) % 3 <> 0),
+owned AS (SELECT p.user_id, l.* FROM links l JOIN products p ON p.product_id = l.product_id)
+"""
+
+
+@query(ACCOUNTS + """, visible AS (SELECT * FROM followed f WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.user_id = f.user_id AND o.competitor_id = f.competitor_id AND is_active AND match_method = 'auto-generated')
+    OR EXISTS (SELECT 1 FROM owned o WHERE o.user_id = f.user_id AND o.competitor_id = f.competitor_id AND is_active AND (match_method IS NULL OR match_method <> 'auto-generated')))
+  SELECT v.user_id, count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'inactive') AS inactive, count(*) FILTER (WHERE status = 'error') AS error,
+    coalesce(sum(n), 0)::BIGINT AS products_tracked FROM visible v LEFT JOIN (SELECT user_id, competitor_id, count(*) AS n FROM owned WHERE match_method IS NULL OR match_method <> 'auto-generated' GROUP BY 1, 2) t
+    ON t.user_id = v.user_id AND t.competitor_id = v.competitor_id GROUP BY 1""")
 def agg_competitor_stats(d: Domain) -> DataFrame:
-    return d.competitors.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("active", "inactive", "error")))
+    """Each account's competitors by state, without those it has only generated links to, and their real links."""
+    synthetic = F.col("match_method").eqNullSafe("auto-generated")
+    links = d.owned_links.groupBy("user_id", "competitor_id").agg(
+        F.count_if(~synthetic).alias("real"), F.coalesce(F.bool_and(F.when(F.col("is_active"), synthetic)), F.lit(False)).alias("only_synthetic")
+    )
+    rows = d.followed.join(links, ["user_id", "competitor_id"], "left").filter(~F.coalesce("only_synthetic", F.lit(False)))
+    states = (F.count_if(F.col("status") == s).alias(s) for s in ("active", "inactive", "error"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("total"), *states, F.coalesce(F.sum("real"), F.lit(0)).alias("products_tracked"))
 
 
 @query("""SELECT l.competitor_id, count(*) AS pairs, round(avg(l.price / p.price) * 100, 4) AS price_index, max(l.updated_at) AS last_seen FROM links l JOIN products p ON p.product_id = l.product_id

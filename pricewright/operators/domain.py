@@ -87,6 +87,17 @@ class Domain:
         product_user = F.col("product_id") % 15
         return self.links.filter(~F.col("match_method").eqNullSafe("auto-generated") & ((F.col("competitor_id") + product_user) % 3 != 0))
 
+    @cached_property
+    def followed(self) -> DataFrame:
+        """Accounts with the competitors that they follow."""
+        accounts = self.products.select("user_id").distinct()
+        return accounts.join(self.competitors, (F.col("competitor_id") + F.col("user_id")) % 3 != 0).select("user_id", "competitor_id", "status")
+
+    @cached_property
+    def owned_links(self) -> DataFrame:
+        """Links with their product's account."""
+        return self.links.join(self.products.select("product_id", "user_id"), "product_id")
+
     @cached_property
     def snapshots(self) -> DataFrame:
         """Each product's market: cents are averaged, so each price counts as shown."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import writes
-from .catalog import query
+from .catalog import ACCOUNTS, _changes, query
 from .domain import Domain
 
 AVERAGE = "floor(sum(floor(price * 100 + 0.5::DOUBLE)) / count(*) + 0.5::DOUBLE) / 100"
@@ -158,10 +158,37 @@ def st_rate_window(d: Domain) -> DataFrame:
     return counted.select("user_id", F.col("w.start").alias("window_start"), "hits", (F.col("hits") > 3).alias("limited"))
 
 
-@query("SELECT count(*) FILTER (WHERE is_tracked) AS tracked, count(DISTINCT category) AS categories, count(DISTINCT vendor) AS vendors, max(price) AS highest FROM products WHERE user_id = 1")
+@query(ACCOUNTS + """, mine AS (SELECT o.* FROM owned o JOIN followed f ON f.user_id = o.user_id AND f.competitor_id = o.competitor_id),
+  steps AS (SELECT product_id, competitor_id, recorded_at, price, lag(price) OVER (PARTITION BY product_id, competitor_id ORDER BY turn) AS before FROM observations),
+  changed AS (SELECT s.* FROM steps s WHERE price <> before AND recorded_at >= (SELECT max(recorded_at) FROM observations) - INTERVAL 30 DAY)
+  SELECT a.user_id, (SELECT count(*) FROM products p WHERE p.user_id = a.user_id) AS products, (SELECT count(*) FROM followed f WHERE f.user_id = a.user_id AND status = 'active') AS competitors,
+    (SELECT count(*) FROM mine m WHERE m.user_id = a.user_id AND is_active) AS competitor_matches,
+    (SELECT count(*) FROM changed c JOIN mine m ON m.product_id = c.product_id AND m.competitor_id = c.competitor_id WHERE m.user_id = a.user_id) AS monthly_changes,
+    (SELECT count(*) FROM events e WHERE e.user_id = a.user_id AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY) AS alerts_monthly,
+    (SELECT count(*) FROM orders WHERE o_custkey % 15 = a.user_id AND o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY) AS ai_runs_monthly
+  FROM (SELECT DISTINCT user_id FROM products) a""")
 def agg_usage_6(d: Domain) -> DataFrame:
-    mine = d.products.filter("user_id = 1")
-    return mine.agg(F.count_if("is_tracked").alias("tracked"), F.countDistinct("category").alias("categories"), F.countDistinct("vendor").alias("vendors"), F.max("price").alias("highest"))
+    """Each account's six counts; events stand for alerts and orders for recommendations."""
+
+    def recent(rows: DataFrame, every: DataFrame, at: str) -> DataFrame:
+        now = every.agg(F.max(at).alias("now"))
+        return rows.crossJoin(F.broadcast(now)).filter(F.col(at) >= F.col("now") - F.expr("interval 30 days"))
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("user_id").agg(F.count("*").alias(name))
+
+    mine = d.owned_links.join(d.followed.select("user_id", "competitor_id"), ["user_id", "competitor_id"], "left_semi")
+    changed = recent(_changes(d).filter("new_price <> previous_price"), d.observations, "recorded_at")
+    changed = changed.join(mine.select("user_id", "product_id", "competitor_id"), ["product_id", "competitor_id"])
+    events, orders = d.table("events"), d.table("orders").select((F.col("o_custkey") % 15).alias("user_id"), "o_orderdate")
+    counts = {
+        "products": d.products, "competitors": d.followed.filter("status = 'active'"), "competitor_matches": mine.filter("is_active"), "monthly_changes": changed,
+        "alerts_monthly": recent(events, events, "ts"), "ai_runs_monthly": recent(orders, orders, "o_orderdate"),
+    }
+    out = d.products.select("user_id").distinct()
+    for name, rows in counts.items():
+        out = out.join(counted(rows, name), "user_id", "left")
+    return out.select("user_id", *(F.coalesce(name, F.lit(0)).alias(name) for name in counts))
 
 
 @query("SELECT user_id, used, lim, CASE WHEN lim > 0 THEN used::DOUBLE / lim ELSE 0 END AS utilization, lim IS NOT NULL AND used + 1 > lim AS violates FROM (SELECT user_id, count(*) AS used, CASE user_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 1000 END::BIGINT AS lim FROM products GROUP BY 1)")

@@ -61,3 +61,19 @@ def test_redactions(spark):
     con = duckdb.connect()
     for shown, want in SECRETS:
         assert con.execute(f"SELECT {catalog.SANITIZED} FROM (SELECT ?::VARCHAR AS text)", [shown]).fetchone()[0] == want
+
+
+def test_completed_aggregates_cover_all_accounts(spark):
+    """The counts that were missing are there, for every account, and not empty."""
+    accounts = spark.read.parquet(f"{DATA}/part.parquet").selectExpr("p_partkey % 15 as user_id").distinct().count()
+    wanted = {
+        "agg_usage_6": ["products", "competitors", "competitor_matches", "monthly_changes", "alerts_monthly", "ai_runs_monthly"],
+        "agg_competitor_stats": ["total", "products_tracked"], "agg_dashboard_stats": ["margin_protected_products"],
+    }
+    for name, columns in wanted.items():
+        rows = catalog.QUERIES[name](spark, DATA).collect()
+        assert len(rows) == accounts
+        assert all(c in rows[0].asDict() for c in ["user_id", *columns])
+    summary = catalog.QUERIES["agg_price_summary"](spark, DATA).collect()
+    assert len(summary) == spark.read.parquet(f"{DATA}/part.parquet").count()
+    assert all((r["observations"] > 0) == (r["avg_price"] > 0) and r["latest_recorded_at"] for r in summary)
