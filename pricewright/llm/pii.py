@@ -51,6 +51,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+SHORTEST_ACCOUNT = 15
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 
@@ -110,6 +111,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def account_spans(text: str):
+    """Account numbers that pass mod-97 as (start, end): the longest at a group's end, since the
+    pattern also takes in words that follow.  After a failure the later groups are tried."""
+    at = 0
+    while match := _IBAN.search(text, at):
+        start, ends = match.start(), [match.end()]
+        ends += [start + n for n in range(len(match[0]) - 1, 0, -1) if match[0][n] == " "]
+        passed = (end for end in ends if len(account := text[start:end].replace(" ", "")) >= SHORTEST_ACCOUNT and mod97(account))
+        at = next(passed, start + 1)
+        if at > start + 1:
+            yield start, at
+
+
 def score(text: str, kind: str, start: int, end: int, checked: bool | None) -> float:
     """The kind's score, by checksum (``None``: it has none) and context."""
     if checked is False:
@@ -126,11 +140,10 @@ def find(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int,
     spans = [(span, score(text, KINDS[span[1]], span[0], span[2], True if span[1] == 2 else None)) for span in base]
     more = []
     for kind, pattern in ((4, _IBAN), (5, _SSN), (6, _LOCAL_PHONE)):
-        for match in pattern.finditer(text):
-            checked = mod97(match[0].replace(" ", "")) if kind == 4 else None
-            value = score(text, KINDS[kind], match.start(), match.end(), checked)
+        for start, end in account_spans(text) if kind == 4 else (match.span() for match in pattern.finditer(text)):
+            value = score(text, KINDS[kind], start, end, True if kind == 4 else None)
             if value >= threshold:
-                more.append(((match.start(), kind, match.end()), value))
+                more.append(((start, kind, end), value))
     if more:
         taken = sorted((a, b) for a, _, b in base)
         for span, value in sorted(more):

@@ -105,6 +105,14 @@ def test_pii(awkward, empty):
     assert pii.mask_personal_data(awkward).columns == awkward.columns
 
 
+def test_account_numbers_end_before_the_next_word():
+    for number, after in (("ES91 2100 0418 4502 0005 1332", "BIC"), ("SE45 5000 0000 0583 9825 7466", "EUR"), ("ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00")):
+        _, spans, _ = pii.find(f"{number} {after}")
+        assert (0, pii.KINDS.index("iban"), len(number)) in spans and len(spans) == 1 + (after[:2] == "DE")
+    assert pii.masked("AB12 3456 7890 DE89 3704 0044 0532 0130 00 now") == "AB12 3456 7890 [IBAN] now"
+    assert not pii.find("DE88 3704 0044 0532 0130 00 BIC")[1]
+
+
 def test_jaccard_components_are_those_of_brute_force(spark, empty):
     random.seed(2)
     words = [f"W{i}" for i in range(60)]
