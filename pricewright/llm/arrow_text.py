@@ -2,13 +2,15 @@
 
 A chunk is a list of whole texts, never a cut one; its size only bounds memory.  Texts are
 laid out as one array of code points, and spans (words, lines, pre-tokens) are index pairs
-into that array, hashed with a position-independent polynomial over 64 bits.
+into that array, hashed by their code points and the places of these within the span.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -16,19 +18,23 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+
+#: Rows of a record batch at most; a session setting that asks for fewer holds.
+BATCH_ROWS = 500
 
 
 def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` over record batches of a bounded number of rows.
+    """``mapInArrow`` with what Python workers need to import this package from where it lies.
 
-    What Python workers get imports this package only once its folder is on their path, so it
-    needn't be where they were started.
+    A task's end gives back the memory that its worker no longer needs, as the worker is used again.
     """
     spark: SparkSession = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    asked = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if not 0 < asked <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, pickled = str(Path(__file__).resolve().parents[2]), cloudpickle.dumps(function)
 
     def task(batches):
@@ -39,10 +45,21 @@ def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
         if root not in sys.path:
             sys.path.append(root)
         yield from cloudpickle.loads(pickled)(batches)
+        from pricewright.llm.arrow_text import memory_released
+
+        memory_released()
 
     return df.mapInArrow(task, schema)
 
 
+def memory_released() -> None:
+    """Give unused memory of Arrow's pool and of the C library back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_CHARS):
     """Yield ``(record_batch_slice, texts)``; a null text is an empty one."""
     for batch in batches:
@@ -76,42 +93,36 @@ def mix64(values: np.ndarray) -> np.ndarray:
     return z
 
 
-@lru_cache(maxsize=1)
-def _point_values() -> np.ndarray:
-    return mix64((np.arange(65536, dtype=np.uint64) + np.uint64(1)) * _MULTIPLIER)
-
-
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK_CHARS + 1)
-        base = int(_MULTIPLIER)
-        for name, factor in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            table = np.full(size, factor, np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
-
-
 class SpanHasher:
-    """Hashes spans of one code-point array; equal spans have equal hashes anywhere."""
+    """Hashes spans of one code-point array; equal spans have equal hashes anywhere.
+
+    A span's hash is the sum of a pseudo-random number for each pair of a code point and its place
+    in the span.  Unlike a polynomial modulo 2^64, which has equal values for a long Thue-Morse
+    word and its complement whatever the multiplier, no such regular texts collide.
+    """
 
     def __init__(self, points: np.ndarray):
-        n = len(points)
-        up, self.down = _power_table(n + 1)
-        values = _point_values()[(points & np.uint32(0xFFFF)).astype(np.intp)]
-        wide = points >> np.uint32(16)
-        if wide.any():
-            values = values + wide.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        values *= up[:n]
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(values, out=self.prefix[1:])
+        self.points = points
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[ends] - self.prefix[starts]) * self.down[starts]
-        return mix64(raw + (ends - starts).astype(np.uint64))
+        size = ends - starts
+        first = np.cumsum(size) - size
+        total = int(size.sum())
+        place = np.arange(total)
+        place -= np.repeat(first, size)
+        keys = place.astype(np.uint64)
+        keys <<= np.uint64(32)
+        place += np.repeat(starts, size)
+        keys |= self.points[place]
+        del place
+        keys += np.uint64(0x9E3779B97F4A7C15)
+        keys *= np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(29)
+        keys *= np.uint64(0x94D049BB133111EB)
+        keys ^= keys >> np.uint64(32)
+        sums = np.zeros(total + 1, np.uint64)
+        np.cumsum(keys, out=sums[1:])
+        return mix64(sums[first + size] - sums[first] + size.astype(np.uint64))
 
 
 def is_ascii_space(points: np.ndarray) -> np.ndarray:

@@ -7,10 +7,16 @@ size allows.  Each document chooses its l: a longer prefix asks for more shared
 pays where its prefix holds shingles that many documents have.  A pair is a candidate if its
 prefixes share at least the smaller l of the two, and candidates are verified on whole sets.
 
+Of a pair, call the document whose prefix ends first in the global order the earlier one.  A
+shingle of its prefix that is in no other document's prefix isn't in the other set at all, so
+what both sets share is at most the earlier one's listed shingles and those beyond its prefix.
+With shingles counted well that leaves few pairs that aren't links.
+
 Equal sets are one representative from the start.  What is wanted are classes, so no pair whose
-ends are already in one class is looked at again: first each shingle's documents are verified
-against one of them, which settles large groups of copies in as many pairs as they have members;
-then every remaining candidate pair between different classes is.
+ends are already in one class is looked at again: first each document is verified against the
+document of its lists that has the fewest shingles of its own, which settles large groups of
+copies in as many pairs as they have members; then every remaining candidate pair between
+different classes is.
 """
 
 from __future__ import annotations
@@ -20,23 +26,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import SpanHasher, arrow_map, chunks, code_points, lower_ascii, mix64, word_spans
+from .arrow_text import CHUNK_CHARS, SpanHasher, arrow_map, chunks, code_points, lower_ascii, mix64, word_spans
 from .components import connected_components
-from .storage import Stored, narrowed, stored, written
+from .storage import Stored, fresh, narrowed, stored
 
 #: A speed parameter: how many of the most frequent shingles have their frequency in the order.
-FREQUENT = 50_000
-#: Shingles counted together before their frequent ones go to the shuffle.
+FREQUENT = 200_000
+#: Shingles counted together before those that occur twice or more go to the shuffle.
 COUNTED = 1 << 21
-FREQUENT_OF_COUNTED = 5_000
 #: Prefixes may ask for that many shared shingles.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Other documents that the cost estimate expects for a shingle not among the frequent ones.
 UNSEEN = 0.2
-#: Rounds of star-shaped candidates before all remaining ones; a speed parameter.
-STAR_ROUNDS = 2
-#: Documents of a frequent shingle in one window, about.
+#: Documents of a frequent shingle in one list, and pairs of a document in one group, about.
 LIST_SHARE = 1_000
+#: Frequencies are found in so many classes an octave.
+OCTAVE = 16
 
 
 def shingle_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +94,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
 
         def frequent():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = np.flatnonzero(counts > 2)
-            many = many[np.argsort(-counts[many], kind="stable")[:FREQUENT_OF_COUNTED]]
+            many = np.flatnonzero(counts > 1)
             none = np.zeros(len(many), np.int64)
             arrays = [np.ones(len(many), np.int8), values[many], none, none, counts[many].astype(np.int64)]
             return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["kind", "k1", "k2", "doc_id", "n"])
@@ -131,21 +135,38 @@ def choose_matches(frequency: np.ndarray, size: int, least: int) -> int:
     return best
 
 
-def prefixes(docs: DataFrame, size: int, percent: int, frequent: DataFrame) -> DataFrame:
-    """doc_id, n, matches and the prefix [(token, salt)] of every document with a shingle.
+def frequencies(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``FREQUENT`` shingles (k1) of the highest counts (n), ascending, and the counts."""
+    octaves = F.floor(F.log2("n") * OCTAVE).alias("octave")
+    amounts = {r["octave"]: r["count"] for r in counted.groupBy(octaves).count().collect()}  # at most 64 octaves' classes
+    least, total = None, 0
+    for octave in sorted(amounts, reverse=True):
+        total += amounts[octave]
+        if total > FREQUENT:
+            break
+        least = octave
+    if least is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = counted.filter(octaves >= least).select("k1", "n").toArrow()  # at most FREQUENT rows of two numbers
+    values, counts = (rows.column(c).to_numpy() for c in ("k1", "n"))
+    order = np.argsort(values)
+    return values[order], counts[order]
+
+
+def prefixes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Every document with a shingle: doc_id, k1 (half of its set's fingerprint), n, matches, where its
+    prefix ends in the global order (end), and the prefix as tokens and salts.
 
     A frequent shingle's documents are split, by salts from 1 on, into lists of about
     ``LIST_SHARE``; salt 0 is an undivided list.
     """
-    rows = frequent.collect()  # at most FREQUENT rows of two numbers
-    table = np.array([r["k1"] for r in rows], np.int64)
-    order = np.argsort(table)
-    shared = docs.sparkSession.sparkContext.broadcast((table[order], np.array([r["n"] for r in rows], np.int64)[order]))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(batches):
         known, counts = shared.value
         for rows, texts in chunks(batches, "text"):
             values, bounds = shingle_sets(texts, size)
+            one = _sums(mix64(values.view(np.uint64) + np.uint64(1)), bounds)
             frequency = np.ones(len(values), np.int64)
             if len(known):
                 place = np.minimum(np.searchsorted(known, values), len(known) - 1)
@@ -165,18 +186,20 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: DataFrame) -> D
             at = np.repeat(bounds[:-1] - first, length) + np.arange(int(length.sum()))
             lists = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             shares = -(-frequency[at] // LIST_SHARE)
-            ids = np.array([i if i is not None else -1 for i in rows.column("doc_id").to_pylist()], np.int64)
-            draw = mix64(ids.view(np.uint64)) >> np.uint64(33)
+            draw = mix64(one.view(np.uint64)) >> np.uint64(33)
             salt = np.where(shares > 1, 1 + (np.repeat(draw, length) % shares.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
+            last = np.where(length > 0, bounds[:-1] + length - 1, 0)
+            ends = [pa.array(x[last] if len(x) else np.zeros(len(texts), np.int64)) for x in (frequency, values)]
             columns = [
-                rows.column("doc_id"), pa.array(sizes.astype(np.int32)), pa.array(matches.astype(np.int32)),
+                rows.column("doc_id"), pa.array(one), pa.array(sizes.astype(np.int32)), pa.array(matches.astype(np.int32)),
+                pa.StructArray.from_arrays(ends, ["f", "v"]),
                 pa.ListArray.from_arrays(pa.array(lists), pa.array(values[at])),
                 pa.ListArray.from_arrays(pa.array(lists), pa.array(salt)),
             ]
-            batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "matches", "tokens", "salts"])
+            batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "n", "matches", "end", "tokens", "salts"])
             yield batch.filter(pa.array(sizes > 0))
 
-    schema = "doc_id long, n int, matches int, tokens array<long>, salts array<int>"
+    schema = "doc_id long, k1 long, n int, matches int, end struct<f: long, v: long>, tokens array<long>, salts array<int>"
     return arrow_map(docs.select("doc_id", "text"), cut, schema)
 
 
@@ -184,30 +207,52 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Stor
     """The pairs (a, b) whose whole sets are similar enough.
 
     Only texts of candidates are shuffled, and as texts, which compress better than their sets.
+    Pairs of one ``a`` are dealt into groups of about ``LIST_SHARE``, each with the text of ``a``
+    once; so a document with very many pairs is in no task alone.
     """
     asked = stored(pairs, "pairs")
-    pairs = asked.frame
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    shares = asked.frame.groupBy("a").agg(F.ceil(F.count("*") / LIST_SHARE).alias("shares"))
+    groups = asked.frame.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").alias("share"))
+    ends = asked.frame.select(F.explode(F.array("a", "b")).alias("node"))
     texts = narrowed(docs.select("doc_id", "text"), ends).join(ends, F.col("doc_id") == F.col("node"), "left_semi")
+    texts = stored(texts.distinct(), "texts")
 
     def compared(batches):
-        for rows, left in chunks(batches, "left"):
-            right = [text or "" for text in rows.column("right").to_pylist()]
-            one, first = shingle_sets(left, size)
-            two, second = shingle_sets(right, size)
-            alike = np.zeros(len(left), bool)
-            for i in range(len(left)):
-                x, y = one[first[i] : first[i + 1]], two[second[i] : second[i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                alike[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            kept = rows.filter(pa.array(alike))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
-
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
+        for rows in batches:
+            a, left, right = (rows.column(c).to_pylist() for c in ("a", "left", "right"))
+            begin = 0
+            while begin < len(a):
+                end = begin
+                place: dict = {}  # pairs of one text stand together
+                some: list[str] = []
+                amount = 0
+                while end < len(a) and (end == begin or amount + len(left[end] or "") + len(right[end] or "") <= CHUNK_CHARS):
+                    key = (a[end], left[end])
+                    if key not in place:
+                        place[key] = len(some)
+                        some.append(left[end] or "")
+                        amount += len(some[-1])
+                    some.append(right[end] or "")
+                    amount += len(some[-1])
+                    end += 1
+                values, bounds = shingle_sets(some, size)
+                alike, at = np.zeros(end - begin, bool), -1
+                for i in range(begin, end):
+                    own = place[(a[i], left[i])]
+                    at = at + 1 if own != at + 1 else at + 2
+                    x, y = values[bounds[own] : bounds[own + 1]], values[bounds[at] : bounds[at + 1]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    alike[i - begin] = 100 * both >= percent * (len(x) + len(y) - both)
+                kept = rows.slice(begin, end - begin).filter(pa.array(alike))
+                yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+                begin = end
+
+    two = texts.frame.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+    one = texts.frame.select(F.col("doc_id").alias("a"), F.col("text").alias("left")).join(groups.select("a", "share").distinct(), "a")
+    joined = groups.join(two, "b").join(one, ["a", "share"]).select("a", "b", "left", "right")
     links = stored(arrow_map(joined, compared, "a long, b long"), "links")
     asked.drop()
+    texts.drop()
     return links
 
 
@@ -216,65 +261,88 @@ def alike(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def prefix_length(n: str, matches: str, percent: int) -> Column:
-    return F.col(n) - F.ceil(F.col(n) * percent / 100.0 - 1e-9).cast("int") + F.col(matches)
-
-
 def enough(overlap: Column, sizes: Column, percent: int) -> Column:
     """Whether sets of these sizes, together, can be similar enough with that overlap."""
     return (100 + percent) * overlap >= percent * sizes
 
 
-def possible(common: str, one: tuple[str, str], two: tuple[str, str], percent: int) -> Column:
-    """Shingles in both sets are in both prefixes, or beyond the prefix that ends first."""
-    rest = F.greatest(*(F.col(n) - prefix_length(n, m, percent) for n, m in (one, two)))
-    return enough(F.col(common) + rest, F.col(one[0]) + F.col(two[0]), percent)
-
-
-def undecided(members: DataFrame, labels: DataFrame) -> tuple[Stored, int]:
-    """The members of lists with several classes, with their class, and the pairs of classes in lists."""
-    placed = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    kept = stored(placed.join(several.select("token"), "token", "left_semi"), "undecided")
-    classes = kept.frame.select("token", "component").distinct().groupBy("token").agg(F.count("*").alias("c"))
-    return kept, classes.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0] or 0
-
-
-def _label_links(labels: Stored) -> DataFrame:
-    """Each node with its component's name: the same connections in fewer steps."""
-    return labels.frame.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-
-
-def star_pairs(placed: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member with the head of its lists that it shares most with, other classes' heads only."""
-    draw = F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("draw"), F.xxhash64("doc_id", F.lit(turn)).alias("own"), "doc_id", "n", "component", "matches", "most"))
-    heads = placed.groupBy("token").agg(draw.alias("h")).select(
-        "token", F.col("h.doc_id").alias("a"), F.col("h.n").alias("na"), F.col("h.component").alias("ca"), F.col("h.matches").alias("ma"), F.col("h.most").alias("mosta")
-    )
-    met = placed.join(heads, "token").filter((F.col("component") != F.col("ca")) & alike("n", "na", percent))
-    met = met.filter(enough(F.least("most", "mosta"), F.col("n") + F.col("na"), percent))
-    met = met.groupBy("a", F.col("doc_id").alias("b"), "n", "na", "matches", "ma").agg(F.count("*").alias("common"))
-    met = met.filter((F.col("common") >= F.least("matches", "ma")) & possible("common", ("n", "matches"), ("na", "ma"), percent))
-    best = met.groupBy("b").agg(F.max(F.struct("common", (-F.col("a")).alias("a"))).alias("best"))
-    return best.select((-F.col("best.a")).alias("a"), "b")
-
-
-def class_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs between different classes: pairs of classes of a list, then their members."""
-    size = lambda side: (F.min("n").alias(f"n{side}"), F.max("n").alias(f"x{side}"), F.max("most").alias(f"most{side}"))
-    left = placed.groupBy("token", F.col("component").alias("low")).agg(*size("l"))
-    right = placed.groupBy("token", F.col("component").alias("high")).agg(*size("h"))
-    able = enough(F.least("mostl", "mosth"), F.col("nl") + F.col("nh"), percent)
-    able &= (100 * F.col("xl") >= percent * F.col("nh")) & (100 * F.col("xh") >= percent * F.col("nl"))
-    meetings = left.join(right, "token").filter((F.col("low") < F.col("high")) & able).select("token", "low", "high")
-    x = placed.select("token", F.col("component").alias("low"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("matches").alias("ma"), F.col("most").alias("mosta"))
-    y = placed.select("token", F.col("component").alias("high"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("matches").alias("mb"), F.col("most").alias("mostb"))
-    able = alike("na", "nb", percent) & enough(F.least("mosta", "mostb"), F.col("na") + F.col("nb"), percent)
-    pairs = meetings.join(x, ["token", "low"]).join(y, ["token", "high"]).filter(able)
-    pairs = pairs.groupBy("a", "b", "na", "nb", "ma", "mb").agg(F.count("*").alias("common"))
-    pairs = pairs.filter((F.col("common") >= F.least("ma", "mb")) & possible("common", ("na", "ma"), ("nb", "mb"), percent))
-    return pairs.select("a", "b")
+#: What a member of a list tells of its document.
+FACTS = ("doc_id", "n", "matches", "end", "rest", "most")
+
+
+def _of(side: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{side}") for c in FACTS]
+
+
+def counted_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) that share enough prefix shingles, with how many (common), of rows that meet by one each.
+
+    Shingles in both sets are in both prefixes, or beyond the prefix that ends first.
+    """
+    earlier = F.col("end_x") <= F.col("end_y")
+    pairs = met.groupBy(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y"), "n_x", "n_y", F.least("matches_x", "matches_y").alias("asked"), F.when(earlier, F.col("rest_x")).otherwise(F.col("rest_y")).alias("rest"))
+    pairs = pairs.agg(F.count("*").alias("common"))
+    return pairs.filter((F.col("common") >= F.col("asked")) & enough(F.col("common") + F.col("rest"), F.col("n_x") + F.col("n_y"), percent))
+
+
+def list_members(cut: DataFrame, percent: int) -> Stored:
+    """token, salt and ``FACTS`` of each document in a list that others are in too.
+
+    ``rest`` counts the shingles beyond the prefix; ``most`` adds those of the prefix that are
+    listed, which is what the set can share with one whose prefix ends later.
+    """
+    posted = cut.select("doc_id", F.explode(F.arrays_zip("tokens", "salts")).alias("p")).select(F.col("p.tokens").alias("token"), F.col("p.salts").alias("salt"), "doc_id")
+    # A list of one has nobody to link with, unless it is a share of a longer list.
+    lists = posted.withColumn("members", F.count("*").over(Window.partitionBy("token", "salt")))
+    lists = stored(lists.filter("members > 1 or salt > 0").select("token", "salt", "doc_id"), "lists")
+    present = lists.frame.groupBy("doc_id").agg(F.count("*").alias("listed"))
+    rest = F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int") - F.col("matches")
+    facts = cut.select("doc_id", "n", "matches", "end", rest.alias("rest")).join(present, "doc_id")
+    facts = facts.withColumn("most", F.least(F.col("n"), F.col("rest") + F.col("listed")))
+    members = stored(lists.frame.join(facts, "doc_id").select("token", "salt", *FACTS), "members")
+    lists.drop()
+    return members
+
+
+def star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each member with the head of its lists that it shares most with, and heads of one shingle with one another's first.
+
+    A list's head is the document of the smallest share of unlisted shingles: of a group of near
+    copies, the one that most of the others are near to.
+    """
+    head = F.max(F.struct((F.col("most") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("order"), *FACTS)).alias("h")
+    heads = members.groupBy("token", "salt").agg(head)
+    met = members.select("token", "salt", *_of("y")).join(heads.select("token", "salt", *(F.col(f"h.{c}").alias(f"{c}_x") for c in FACTS)), ["token", "salt"])
+    bound = F.when(F.col("end_x") <= F.col("end_y"), F.col("most_x")).otherwise(F.col("most_y"))
+    met = met.filter((F.col("doc_id_x") != F.col("doc_id_y")) & alike("n_x", "n_y", percent) & enough(bound, F.col("n_x") + F.col("n_y"), percent))
+    best = counted_pairs(met, percent).groupBy(F.col("y").alias("b")).agg(F.max(F.struct("common", (-F.col("x")).alias("x"))).alias("best"))
+    stars = best.select((-F.col("best.x")).alias("a"), "b")
+    shares = heads.filter("salt > 0").select("token", F.col("h.doc_id").alias("b"), F.struct("h.share", "h.order").alias("r"))
+    first = shares.groupBy("token").agg((-F.max("r").getField("order")).alias("a"))
+    return stars.unionByName(shares.join(first, "token").filter("a <> b").select("a", "b")).distinct()
+
+
+def remaining_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs (a, b) between different classes.
+
+    The earlier document of a pair must itself leave room for enough shared shingles, and the
+    later one's prefix ends no earlier than the first such document of the list; so of a list
+    whose near copies are one class by now few members are left to meet.
+    """
+    placed = members.drop("salt").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = stored(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    lists = placed.frame.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"))
+    left = placed.frame.join(lists.filter("low < high").select("token", "least"), "token")
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100.0 - 1e-9))
+    left = left.withColumn("able", enough(F.col("most"), F.col("n") + smallest, percent))
+    ends = left.groupBy("token").agg(F.min(F.when(F.col("able"), F.col("end"))).alias("begin"), F.count("*").alias("members"))
+    left = left.join(ends.filter("begin is not null"), "token").filter(F.col("end") >= F.col("begin"))
+    shares = F.ceil(F.col("members") / (2 * LIST_SHARE)).cast("int")
+    x = left.filter("able").select("token", F.pmod(F.xxhash64("doc_id"), shares).cast("int").alias("share"), F.col("component").alias("c_x"), *_of("x"))
+    y = left.select("token", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("component").alias("c_y"), *_of("y"))
+    able = (F.col("c_x") != F.col("c_y")) & (F.col("end_x") <= F.col("end_y")) & alike("n_x", "n_y", percent) & enough(F.col("most_x"), F.col("n_x") + F.col("n_y"), percent)
+    pairs = counted_pairs(x.join(y, ["token", "share"]).filter(able), percent)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -287,70 +355,35 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     (null).  Other columns are left aside; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    described = written(describe(docs, size), "described")
+    described = stored(describe(docs, size), "described").frame
     known = described.filter("kind = 0").select("doc_id", "n", "k1", "k2")
-    counted = described.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("n"))
-    frequent = counted.orderBy(F.desc("n"), "k1").limit(FREQUENT)
-    classes = known.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
-    classes = written(classes, "classes")
-    cut = prefixes(docs, size, percent, frequent)
-    of_classes = cut.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    posted = of_classes.select("doc_id", "n", "matches", F.explode(F.arrays_zip("tokens", "salts")).alias("p"))
-    posted = posted.select(F.col("p.tokens").alias("token"), F.col("p.salts").alias("salt"), "doc_id", "n", "matches")
-    lists = Window.partitionBy("token", "salt")
-    met = posted.withColumn("members", F.count("*").over(lists)).withColumn("hub", F.min(F.struct("doc_id", "n")).over(lists))
-    # A list of one has nobody to link with, unless it is a share of a longer list.
-    shares = stored(
-        met.filter("members > 1 or salt > 0").select("token", "salt", "doc_id", "n", "matches", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")),
-        "lists",
-    )
-    shared = shares.frame
-
-    stars = shared.filter((F.col("doc_id") != F.col("hub")) & alike("n", "hub_n", percent))
-    stars = stars.groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "matches").agg(F.count("*").alias("common"))
-    # Each document with the head that it shares most with; what this leaves out is looked at again below.
-    stars = stars.filter("common >= matches").groupBy("b").agg(F.max(F.struct("common", (-F.col("a")).alias("a"))).alias("best"))
-    stars = stars.select((-F.col("best.a")).alias("a"), "b")
-    heads = shared.filter("salt > 0").select("token").distinct().join(shared.select("token", "hub"), "token").distinct()
-    top = heads.groupBy("token").agg(F.min("hub").alias("a"))
-    across = heads.join(top, "token").filter(F.col("hub") != F.col("a")).select("a", F.col("hub").alias("b"))
-    links = verified(stars.unionByName(across).distinct(), docs, size, percent).frame
-    # A document's shingles that no list has are shared with nobody: `most` is what others can share.
-    present = shared.groupBy("doc_id").agg(F.count("*").alias("listed"))
-    length = prefix_length("n", "matches", percent)
-    members = shared.select("token", "doc_id", "n", "matches").join(present, "doc_id")
-    members = members.withColumn("most", F.col("n") - F.greatest(length - F.col("listed"), F.lit(0))).drop("listed")
-    labels = connected_components(links, rounds=3)
-    placed, pairs = undecided(members, labels.frame)
-    amount = shared.count()
-    shares.drop()
-    # Rounds of other heads join what is alike, at a cost in proportion to the members, while
-    # pairs of classes would be more than the members are; whatever is left, all pairs decide.
-    # A list of one class stays one, so each round looks only at what the last one left.  Classes
-    # that a few rounds of labels leave apart cost time only: the last components have all links.
-    for turn in range(1, STAR_ROUNDS + 1):
-        if pairs <= amount:
-            break
-        found = verified(star_pairs(placed.frame, turn, percent), docs, size, percent).frame
-        links = links.unionByName(found)
-        before, held = placed, labels
-        labels = connected_components(found.unionByName(_label_links(held)), rounds=2)
-        held.drop()
-        placed, pairs = undecided(before.frame.drop("component"), labels.frame)
-        before.drop()
-    links = links.unionByName(verified(class_pairs(placed.frame, percent), docs, size, percent).frame)
-    links = links.unionByName(_label_links(labels))
-    placed.drop()
+    named = known.filter("n > 0 and doc_id is not null")
+    classes = stored(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")), "classes").frame
+    counted = stored(described.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")), "counted")
+    cut = prefixes(docs, size, percent, frequencies(counted.frame))
+    counted.drop()
+    cut = cut.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "k1"])
+    cut = stored(cut, "prefixes")
+    members = list_members(cut.frame, percent)
+    cut.drop()
+    links = verified(star_pairs(members.frame, percent), docs, size, percent)
+    # Classes that a few rounds of labels leave apart cost time only: the last components have all links.
+    labels = connected_components(links.frame, rounds=3)
+    links.drop()
+    more = verified(remaining_pairs(members.frame, labels.frame, percent), docs, size, percent)
+    members.drop()
+    same = labels.frame.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     # A doc_id with several texts is one node through its classes' representatives.
-    own = known.filter("n > 0 and doc_id is not null").select("doc_id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"])
-    twice = known.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("k"), F.max("k1").alias("l")).filter("k < l")
-    bridges = own.join(twice.select("doc_id"), "doc_id", "left_semi").filter(F.col("doc_id") != F.col("node"))
-    links = links.unionByName(bridges.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    labels = connected_components(links).frame
-    named = classes.join(labels, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
+    twice = named.groupBy("doc_id").agg(F.min("k1").alias("k"), F.max("k1").alias("l")).filter("k < l")
+    bridges = named.join(twice.select("doc_id"), "doc_id", "left_semi").join(classes, ["k1", "k2", "n"]).filter(F.col("doc_id") != F.col("node"))
+    links = more.frame.unionByName(same).unionByName(bridges.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    whole = connected_components(links).frame
+    labels.drop()
+    more.drop()
+    reached = classes.join(whole, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id"))
     return (
-        known.join(named, ["k1", "k2", "n"], "left")
+        known.join(reached, ["k1", "k2", "n"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     )
 
@@ -358,8 +391,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near copies, that of the smallest doc_id.
 
-    All columns stay as they are.  Documents without words, or without an id, stay.
+    All columns stay as they are, whatever they are called.  Documents without words, or without
+    an id, stay; so do repeated rows of a document that stays, and an empty table stays empty.
     """
+    copy = fresh("copy", docs.columns)
     marked = jaccard_components(docs, size, percent).filter("component_id < doc_id")
-    copies = written(marked.select(F.col("doc_id").alias("_copy_id")).distinct(), "near-copies")
-    return docs.join(copies, docs["doc_id"] == F.col("_copy_id"), "left_anti")
+    copies = stored(marked.select(F.col("doc_id").alias(copy)).distinct(), "near-copies").frame
+    return docs.join(copies, docs["doc_id"] == F.col(copy), "left_anti")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary one is set where it is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only,
+    since a cluster's executors don't share the driver's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext.getCheckpointDir()
+    if not folder and not held and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = held or tempfile.mkdtemp(prefix="spark-checkpoint-")
     if held is None:
@@ -73,6 +77,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name).frame
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of ``taken`` is, in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
