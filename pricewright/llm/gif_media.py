@@ -1,7 +1,7 @@
 """GIF media columns: LZW code streams, palettes, disposal and transparency, timed frames.
 
-``decode`` reads any GIF87a or GIF89a file into index samples and composed RGBA canvases.
-``encode`` writes index samples as an animated GIF.  ``decode_media`` turns a binary column into
+``decode`` reads any GIF87a or GIF89a file into frames of index samples and ``shown`` composes
+them.  ``encode`` writes index samples as an animated GIF whose frames have only what changes.  ``decode_media`` turns a binary column into
 timed frames with colour histograms, and ``store_texts`` stores payloads losslessly.
 """
 
@@ -10,19 +10,24 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrow_text import arrow_map, chunks
 
 WIDTH = 64
-ROWS = 1024  # of a frame at most
-BINS = 8
+ROWS = 128  # of a frame at most
+#: The index that stands for what lies below; UTF-8 has no such byte.
+TRANSPARENT = 255
+#: Four levels of each colour.
+BINS = 64
+#: Pixels of a canvas at most; a header can ask for 2^32.
+MOST_PIXELS = 1 << 25
 MEDIA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
     "media_sha256 string, feature string, n_frames int, duration_ms long"
@@ -45,47 +50,43 @@ def code_widths(code_size: int) -> tuple[np.ndarray, np.ndarray]:
     return width, np.concatenate([[0], np.cumsum(width)])
 
 
-#: Samples between clears.  At most that many codes, whose entries all fit the table of 4096.
-SEGMENT = 3800
+#: The entry after which the encoder clears the table, of 4096.
+LAST_ENTRY = 4093
 
 
 def lzw_compress(samples: bytes) -> bytes:
-    """An LZW stream of 8-bit samples, by a parse that numpy can do at once.
-
-    LZW lets the encoder choose its parse.  This one takes samples in pairs: a pair's first
-    occurrence since the clear is two literals, which defines the pair's entry, and each later
-    one is that entry's code.  The stream is valid for any decoder.
-    """
+    """An LZW stream of 8-bit samples by longest match, with a clear whenever the table is full."""
     clear, end = 256, 257
-    codes, widths, before = [], [], 9
+    segments: list[list[int]] = [[]]
+    table: dict[int, int] = {}
+    known, put, entry = table.get, segments[0].append, end
+    rest = iter(samples)
+    held = next(rest, -1)
+    for sample in rest:
+        longer = known(held << 8 | sample)
+        if longer is not None:
+            held = longer
+            continue
+        put(held)
+        entry += 1
+        if entry == LAST_ENTRY:
+            segments.append([])
+            table.clear()
+            put, entry = segments[-1].append, end
+        else:
+            table[held << 8 | sample] = entry
+        held = sample
+    if held >= 0:
+        put(held)
     sizes, _ = code_widths(8)
-    for a in range(0, len(samples), SEGMENT):
-        part = np.frombuffer(samples[a : a + SEGMENT], np.uint8)
-        odd = part[len(part) - len(part) % 2 :].astype(np.int64)
-        pairs = part[: len(part) - len(part) % 2].view("<u2").astype(np.int64)
-        first = _first_places(pairs)
-        new = first == np.arange(len(pairs))
-        place = np.arange(len(pairs)) + np.cumsum(new) - new  # of the pair's first code
-        out = np.empty(len(pairs) + int(new.sum()), np.int64)
-        out[place[~new]] = end + 1 + place[first[~new]]
-        out[place[new]] = pairs[new] & 255
-        out[place[new] + 1] = pairs[new] >> 8
-        own = sizes[: len(out) + len(odd) + 1]
-        codes += [[clear], out, odd]
-        widths += [[before], own[:-1]]
-        before = int(own[-1])
-    if not samples:
-        codes, widths = [[clear]], [[9]]
+    codes, widths, before = [], [], 9
+    for segment in segments:
+        codes += [[clear], segment]
+        widths += [[before], sizes[: len(segment)]]
+        before = int(sizes[len(segment)])
     return pack_codes(np.concatenate([*codes, [end]]).astype(np.uint64), np.concatenate([*widths, [before]]))
 
 
-def _first_places(values: np.ndarray) -> np.ndarray:
-    """For each value the place where it occurs first."""
-    codes, _ = pd.factorize(values)
-    firsts = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1) > 0)
-    return firsts[codes]
-
-
 def pack_codes(codes: np.ndarray, widths: np.ndarray) -> bytes:
     """Codes of at most 12 bits, one after another, least significant bit first."""
     ends = np.cumsum(widths)
@@ -200,27 +201,53 @@ class Frame:
     delay_ms: int = 0
     disposal: int = 0
     transparent: int = -1
-    canvas: np.ndarray | None = field(default=None, repr=False)
 
 
 def grey_palette() -> np.ndarray:
     return np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
 
+@lru_cache(maxsize=1)
+def colour_palette() -> np.ndarray:
+    """256 colours: three bits of an index are its red, three its green and two its blue."""
+    index = np.arange(256)
+    return np.stack([(index >> 5) * 255 // 7, (index >> 2 & 7) * 255 // 7, (index & 3) * 85], axis=1).astype(np.uint8)
+
+
+def _sub_blocks(data: bytes) -> bytes:
+    return b"".join(bytes([len(data[a : a + 255])]) + data[a : a + 255] for a in range(0, len(data), 255)) + b"\0"
+
+
 def encode(samples: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms: int = 100) -> bytes:
-    """Index samples as frames of ``width`` by at most ``rows``, over a grey palette."""
-    pixels = width * rows
-    parts = [samples[a : a + pixels] for a in range(0, max(1, len(samples)), pixels)]
-    height = max(1, len(parts[0]) // width)
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), grey_palette().tobytes()]
-    for part in parts:
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_ms // 10, 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08")
-        data = lzw_compress(part)
-        for a in range(0, len(data), 255):
-            block = data[a : a + 255]
-            out.append(bytes([len(block)]) + block)
-        out.append(b"\0")
+    """Index samples, whole rows of ``width``, as timed frames of ``rows`` rows over a colour palette.
+
+    A frame is drawn over the one before, which stays: it has only the rows from the first to the
+    last that differ, and rows between that don't are transparent, if ``TRANSPARENT`` is no
+    sample.  A comment tells how many rows of all frames' canvases, one under the other, count.
+    """
+    total = len(samples) // width
+    height = max(1, min(rows, total))
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), colour_palette().tobytes()]
+    out += [b"\x21\xfe", _sub_blocks(f"rows={total}".encode())]
+    whole = np.frombuffer(samples, np.uint8).reshape(total, width)
+    clear = TRANSPARENT not in samples
+    shown = None
+    for a in range(0, max(1, total), height):
+        new = whole[a : a + height]
+        if len(new) < height:
+            new = np.concatenate([new, np.zeros((height - len(new), width), np.uint8)])
+        top, part, flags = 0, new, 1 << 2
+        if shown is not None:
+            differs = np.flatnonzero((new != shown).any(axis=1))
+            top, bottom = (int(differs[0]), int(differs[-1]) + 1) if len(differs) else (0, 1)
+            part = new[top:bottom]
+            same = (part == shown[top:bottom]).all(axis=1)
+            if clear and same.any():
+                part, flags = np.where(same[:, None], np.uint8(TRANSPARENT), part), flags | 1
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", flags, delay_ms // 10, TRANSPARENT if flags & 1 else 0) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, top, width, len(part), 0) + b"\x08")
+        out.append(_sub_blocks(lzw_compress(part.tobytes())))
+        shown = new
     out.append(b"\x3b")
     return b"".join(out)
 
@@ -238,15 +265,19 @@ def _colours(data: bytes, at: int, bits: int) -> tuple[np.ndarray, int]:
     return np.frombuffer(data[at : at + size], np.uint8).reshape(-1, 3), at + size
 
 
-def decode(data: bytes, compose: bool = True) -> tuple[tuple[int, int], list[Frame]]:
-    """The screen size and the frames of a GIF; ``ValueError`` if it is none or is cut short."""
+def decode(data: bytes) -> tuple[tuple[int, int], list[Frame], bytes]:
+    """The screen size, the frames and the comments of a GIF; ``ValueError`` if it is none, is cut
+    short or has a screen or frame of more than ``MOST_PIXELS``."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > MOST_PIXELS:
+        raise ValueError("too many pixels")
     at, palette = 13, grey_palette()
     if flags & 0x80:
         palette, at = _colours(data, at, flags & 7)
     frames: list[Frame] = []
+    comments: list[bytes] = []
     control = (0, 0, -1)
     while at < len(data):
         kind = data[at]
@@ -258,10 +289,14 @@ def decode(data: bytes, compose: bool = True) -> tuple[tuple[int, int], list[Fra
             if label == b"\xf9" and len(block) >= 4:
                 packed, delay, index = struct.unpack("<BHB", block[:4])
                 control = (delay * 10, packed >> 2 & 7, index if packed & 1 else -1)
+            elif label == b"\xfe":
+                comments.append(block)
         elif kind == 0x2C:
             if at + 11 > len(data):
                 raise ValueError("cut short")
             left, top, w, h, packed = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+            if w * h > MOST_PIXELS:
+                raise ValueError("too many pixels")
             at += 10
             own = palette
             if packed & 0x80:
@@ -282,39 +317,66 @@ def decode(data: bytes, compose: bool = True) -> tuple[tuple[int, int], list[Fra
             control = (0, 0, -1)
         else:
             raise ValueError("unknown block")
-    if compose:
-        compose_frames(width, height, frames)
-    return (width, height), frames
+    if not frames:
+        raise ValueError("no frame")
+    return (width, height), frames, b"".join(comments)
+
+
+def colours(frame: Frame) -> np.ndarray:
+    """Red, green, blue and opacity of each index."""
+    table = np.zeros((256, 4), np.uint8)
+    table[: len(frame.palette), :3] = frame.palette
+    table[:, 3] = 255
+    return table
+
 
+def shown(size: tuple[int, int], frames: list[Frame], table: Callable[[Frame], np.ndarray] = colours):
+    """Each frame's canvas, as shown: drawn over what disposal of the frames before has left.
 
-def compose_frames(width: int, height: int, frames: list[Frame]) -> None:
-    """Each frame's canvas, as shown: drawn over what disposal of the frames before has left."""
-    canvas = np.zeros((height, width, 4), np.uint8)
+    ``table`` has what a frame's indices stand for; a canvas is only good until the next.
+    """
+    width, height = size
+    blank = np.zeros_like(table(frames[0])[0]) if frames else np.uint8(0)
+    canvas = np.tile(blank, (height, width, *[1] * np.ndim(blank)))
     for frame in frames:
         before = canvas.copy() if frame.disposal == 3 else None
-        table = np.zeros((256, 4), np.uint8)
-        table[: len(frame.palette), :3] = frame.palette
-        table[:, 3] = 255
+        values = table(frame)
         h, w = max(0, min(frame.height, height - frame.top)), max(0, min(frame.width, width - frame.left))
         index = np.frombuffer(frame.samples, np.uint8).reshape(frame.height, frame.width)[:h, :w]
         area = canvas[frame.top : frame.top + h, frame.left : frame.left + w]
         if frame.transparent < 0:
-            area[...] = table[index]
+            area[...] = values[index]
         else:
-            shown = index != frame.transparent
-            area[shown] = table[index[shown]]
-        frame.canvas = canvas.copy()
+            drawn = index != frame.transparent
+            area[drawn] = values[index[drawn]]
+        yield canvas
         if frame.disposal == 2:  # the area becomes transparent again
             area[...] = 0
         elif before is not None:
             canvas = before
 
 
+def colour_bins(colour: np.ndarray) -> np.ndarray:
+    """The bin of each colour, by its level of red, green and blue."""
+    high = colour[..., :3].astype(np.int64) >> 6
+    return high[..., 0] << 4 | high[..., 1] << 2 | high[..., 2]
+
+
 def colour_histogram(canvas: np.ndarray) -> np.ndarray:
-    """Shown pixels in ``BINS`` bins, one for each combination of a high or low red, green and blue."""
-    high = canvas[..., :3] >> 7
-    bins = high[..., 0] << 2 | high[..., 1] << 1 | high[..., 2]
-    return np.bincount(bins[canvas[..., 3] > 0].ravel(), minlength=BINS)
+    """Shown pixels of a canvas of colours in ``BINS`` bins."""
+    return np.bincount(colour_bins(canvas)[canvas[..., 3] > 0].ravel(), minlength=BINS)
+
+
+def read_back(media: bytes) -> tuple[bytes, np.ndarray, list[Frame]]:
+    """What ``encode`` stored, the colour histogram of all shown frames, and the frames."""
+    size, frames, comment = decode(media)
+    parts, counts = [], np.zeros(256, np.int64)
+    index = np.arange(256, dtype=np.uint8)
+    for canvas in shown(size, frames, lambda _: index):
+        parts.append(canvas.tobytes())
+        counts += np.bincount(canvas.ravel(), minlength=256)
+    histogram = np.bincount(colour_bins(frames[0].palette), weights=counts, minlength=BINS).astype(np.int64)
+    return b"".join(parts)[: size[0] * int(comment.removeprefix(b"rows="))], histogram, frames
 
 
 # ----------------------------------------------------------------------------- Spark operators
@@ -323,7 +385,7 @@ def colour_histogram(canvas: np.ndarray) -> np.ndarray:
 def decode_media(media: DataFrame) -> DataFrame:
     """Timed frames of ``media`` (media_id, content binary): one row a frame.
 
-    A null or broken file gives one row with null frame columns and its error.  Repeated rows
+    A null or broken file, or one of too many pixels, gives one row with null frame columns and its error.  Repeated rows
     give repeated frames, a null media_id stays null, other columns are left aside and an empty
     table gives no rows.
     """
@@ -333,15 +395,15 @@ def decode_media(media: DataFrame) -> DataFrame:
             rows = []
             for media_id, content in zip(batch.column("media_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    _, found = decode(content or b"")
+                    size, found, _ = decode(content or b"")
                 except (ValueError, IndexError, struct.error) as error:
                     rows.append((media_id, *[None] * 11, str(error)))
                     continue
                 start = 0
-                for n, f in enumerate(found):
-                    digest = hashlib.sha256(f.canvas.tobytes()).hexdigest()
+                for n, (f, canvas) in enumerate(zip(found, shown(size, found), strict=True)):
+                    digest = hashlib.sha256(canvas.tobytes()).hexdigest()
                     place = (f.left, f.top, f.width, f.height, f.disposal, f.transparent)
-                    rows.append((media_id, n, start, f.delay_ms, *place, colour_histogram(f.canvas).tolist(), digest, None))
+                    rows.append((media_id, n, start, f.delay_ms, *place, colour_histogram(canvas).tolist(), digest, None))
                     start += f.delay_ms
             i64, i32 = pa.int64(), pa.int32()
             kinds = [i64, i32, i64, i64, i32, i32, i32, i32, i32, i32, pa.list_(i64), pa.string(), pa.string()]
@@ -384,9 +446,7 @@ def media_features(docs: DataFrame) -> DataFrame:
                 size, payload = padded(text)
                 media = encode(payload)
                 del payload
-                _, frames = decode(media)
-                back = b"".join(frame.samples for frame in frames)
-                histogram = sum(colour_histogram(frame.canvas) for frame in frames)
+                back, histogram, frames = read_back(media)
                 out.append(
                     (
                         size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media),

@@ -228,7 +228,7 @@ def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_
             out = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 at = np.unique(np.linspace(a, b - 1, min(words, b - a)).astype(np.int64)) if b > a else []
-                out.append([joined[begin[i] : end[i]].encode("utf-8", "surrogatepass")[:WINDOW] for i in at])
+                out.append([part for i in at for part in windows(joined[begin[i] : end[i]].encode("utf-8", "surrogatepass"))])
             columns = [rows.column("doc_id"), rows.column("lang"), pa.array(out, pa.list_(pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "words"])
 
@@ -276,21 +276,37 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that language identification rejects: undetermined text, or text
-    whose best language has a pooled probability under ``least``.
+#: How far the best language's pooled probability must be from chance (0) to certainty (1).
+LEAST_LEAD = 0.12
 
-    One pass, no shuffle; all columns stay as they are, whatever they are called.
+
+def accepted(docs: DataFrame, least: float = LEAST_LEAD) -> DataFrame:
+    """``docs`` without the rows that language identification rejects: text without a letter, or text
+    whose best language of k has a pooled probability under 1 / k + ``least`` (1 - 1 / k).
+
+    One pass, no shuffle; all columns stay as they are, whatever they are called.  Where nothing
+    was learned, as without labelled text or with one language only, text with a letter stays.
+    Repeated rows are treated alike and an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def kept(batches):
         own = shared.value
         for rows, texts in chunks(batches, "text", 1 << 21):
-            if own is not None:
-                p, positions = document_probabilities(own, texts)
-                good = (positions > 0) & (p.max(axis=1) >= least)
-                if good.any():
-                    yield rows.filter(pa.array(good))
+            good = lettered(texts)
+            if own is not None and len(own.languages) > 1:
+                chance = 1 / len(own.languages)
+                p, _ = document_probabilities(own, texts)
+                good &= p.max(axis=1) >= chance + least * (1 - chance)
+            if good.any():
+                yield rows.filter(pa.array(good))
 
     return arrow_map(docs, kept, docs.schema)
+
+
+def lettered(texts: list[str]) -> np.ndarray:
+    """Which texts have a letter."""
+    points, starts = code_points(texts)
+    letters = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(character_classes()[points] == LETTER, out=letters[1:])
+    return np.diff(letters[starts]) > 0

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import SpanHasher, arrow_map, chunks, code_points, line_spans, mix64, word_spans
-from .storage import checkpointed, written
+from .storage import checkpointed, fresh, written
 
 DEPTH = 3
 MIN_TOKENS = 3
@@ -164,17 +164,19 @@ def without_lines(text: str, wordings: set[int]) -> tuple[str, int]:
 def drop_recurring_lines(docs: DataFrame, **settings) -> DataFrame:
     """All rows of ``docs`` with ``text`` freed of recurring lines; other columns stay as they are.
 
-    Null and empty texts and null ids stay.  Repeated rows of one doc_id are one document.
+    Null and empty texts and null ids stay.  Repeated rows of one doc_id are one document.  Names
+    of other columns are no matter, and an empty table stays empty.
     """
-    dropped = written(dropped_lines(docs, **settings).withColumnRenamed("doc_id", "_line_doc").withColumnRenamed("dropped", "_line_dropped"), "dropped-lines")
     names = docs.columns
-    joined = docs.join(dropped, docs["doc_id"] == F.col("_line_doc"), "left").select(*(docs[c] for c in names), "_line_dropped")
+    doc, gone = fresh("line_doc", names), fresh("line_dropped", names)
+    dropped = written(dropped_lines(docs, **settings).select(F.col("doc_id").alias(doc), F.col("dropped").alias(gone)), "dropped-lines")
+    joined = docs.join(dropped, docs["doc_id"] == F.col(doc), "left").select(*(docs[c] for c in names), gone)
     schema = docs.schema
 
     def cleaned(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, wordings in enumerate(batch.column("_line_dropped").to_pylist()):
+            for i, wordings in enumerate(batch.column(gone).to_pylist()):
                 if wordings and texts[i] is not None:
                     texts[i] = without_lines(texts[i], set(wordings))[0]
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,10 +147,11 @@ def find(text: str, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int,
             if value >= threshold:
                 more.append(((start, kind, end), value))
     if more:
-        taken = sorted((a, b) for a, _, b in base)
+        # Base spans go first, then earlier ones; both lists are in order of their starts.
+        starts, reach, last = [a for a, _, _ in base], [0, *accumulate((b for _, _, b in base), max)], 0
         for span, value in sorted(more):
-            if not any(a < span[2] and span[0] < b for a, b in taken):
-                taken.append((span[0], span[2]))
+            if max(last, reach[bisect_left(starts, span[2])]) <= span[0]:
+                last = span[2]
                 spans.append((span, value))
         spans.sort()
     return base, [span for span, _ in spans], [value for _, value in spans]

@@ -3,8 +3,9 @@
 A logistic model over a few text statistics gives each document's own evidence.  Grouped sums of
 it by host and by path within host give posteriors: a site's mean quality is shrunk toward the
 global prior, and a path's toward its host's posterior, the more the fewer documents it has.
-How strongly is estimated from the data, by the spread between sites beyond what sampling
-explains.  A document's score combines its own evidence with its path's posterior.
+How strongly is estimated from the data, by the spread between sites beyond what the spread
+within them explains.  A document's score combines its own evidence with its path's posterior
+from the other documents, so nothing counts twice.
 """
 
 from __future__ import annotations
@@ -155,18 +156,20 @@ def evidence(docs: DataFrame, model: Logistic | None) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text", "host", "path"), scored, "doc_id long, host string, path string, own double")
 
 
-def prior_strength(groups: DataFrame, mean: float, within: float) -> float:
+def prior_strength(groups: DataFrame, mean: float) -> float:
     """How many documents the prior counts as: within-site variance over between-site variance.
 
-    ``groups`` has n and total of each site.  Moments: the weighted spread of the site means,
-    less what sampling alone explains.
+    ``groups`` has n, total and squares of each site.  Moments: the weighted spread of the site
+    means, less what the variance within sites explains.
     """
+    centre = F.col("total") / F.col("n")
     r = groups.agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n").cast("double")).alias("nn"),
-        F.sum(F.col("n") * (F.col("total") / F.col("n") - mean) * (F.col("total") / F.col("n") - mean)).alias("spread"),
+        F.sum(F.col("n") * (centre - mean) * (centre - mean)).alias("spread"), F.sum(F.col("squares") - F.col("total") * centre).alias("inner"),
     ).first()
-    if not r["n"] or r["k"] < 2:
+    if not r["n"] or r["k"] < 2 or r["n"] <= r["k"]:
         return 10.0
+    within = max(r["inner"] / (r["n"] - r["k"]), 1e-9)
     between = (r["spread"] - (r["k"] - 1) * within) / max(r["n"] - r["nn"] / r["n"], 1e-9)
     return float(min(max(within / max(between, 1e-9), 1.0), 1e6))
 
@@ -180,29 +183,28 @@ def hierarchical_quality(docs: DataFrame, labels: DataFrame, least: float = LEAS
     """Quality of each row of ``docs`` (doc_id, text, host, path), trained on ``labels`` (doc_id, quality).
 
     Returns doc_id, host, path, own, host_posterior, path_posterior, score and kept (score at
-    least ``least``).  A null host or path is a site of its own.  A null text is an empty one;
+    least ``least``).  A null host or path is a site of its own; a site's only document has its
+    host's or the global prior.  Equal rows have equal scores.  A null text is an empty one;
     repeated rows are repeated; other columns are left aside; an empty table gives no rows.
     """
     scored = checkpointed(evidence(docs, train(docs, labels)))
     own = F.col("own")
     # Sums by path first, with map-side combining; hosts are sums of their paths.
     paths = checkpointed(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(own).alias("total"), F.sum(own * own).alias("squares")))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    whole = paths.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).first()
+    hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")))
+    whole = paths.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     n = whole["n"] or 1
     mean = min(max((whole["total"] or 0.5 * n) / n, 1e-3), 1 - 1e-3)
-    within = max((whole["squares"] or 0.0) / n - mean * mean, 1e-6)
-    by_host, by_path = prior_strength(hosts, mean, within), prior_strength(paths, mean, within)
-    hosts = hosts.select(
-        F.col("host").alias("h"), ((F.col("total") + by_host * mean) / (F.col("n") + by_host)).alias("host_posterior")
-    )
-    posteriors = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select(
-        F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior",
-        ((F.col("total") + by_path * F.col("host_posterior")) / (F.col("n") + by_path)).alias("path_posterior"),
-    )
+    by_host, by_path = prior_strength(hosts, mean), prior_strength(paths, mean)
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("total").alias("host_total"))
+    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select("h", F.col("path").alias("p"), "n", "total", "host_n", "host_total")
     same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    # Posteriors of the other documents: a row's own evidence is left out of both sums.
+    placed = scored.join(sites, same)
+    placed = placed.withColumn("host_posterior", (F.col("host_total") - own + by_host * mean) / (F.col("host_n") - 1 + by_host))
+    placed = placed.withColumn("path_posterior", (F.col("total") - own + by_path * F.col("host_posterior")) / (F.col("n") - 1 + by_path))
     odds = _logit(own) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))
     score = 1 / (1 + F.exp(-odds))
-    return scored.join(posteriors, same).select(
+    return placed.select(
         "doc_id", "host", "path", "own", "host_posterior", "path_posterior", score.alias("score"), (score >= least).alias("kept")
     )

@@ -33,7 +33,7 @@ MAX_LONGEST = 100
 
 def repeats(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word position the longest repeat that starts there, and the number of intervals
-    (maximal repeated substrings) that each text has, by prefix doubling.
+    (maximal repeated substrings) by the text of one of their suffixes, by prefix doubling.
 
     ``words`` are word identities and ``text`` the document of each, in ascending order.
     """
@@ -85,10 +85,16 @@ def repeats(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     both = np.zeros(n + 1, np.int64)
     both[1:n] = lcp
     longest[order] = np.maximum(both[:-1], both[1:])
-    # An interval begins where the common prefix rises: count rises by the suffix's text.
-    rises = np.zeros(n, np.int64)
-    np.add.at(rises, order[1:][lcp > both[: n - 1]], 1)
-    return longest, rises
+    # An interval's first place of its value is one before which the last smaller or equal value is smaller.
+    before = np.arange(n - 1) - 1
+    live = np.flatnonzero(lcp[:-1] > lcp[1:]) + 1
+    while len(live):  # what lies between a place and its pointer is larger than the place's own value
+        before[live] = before[before[live]]
+        live = live[(before[live] >= 0) & (lcp[before[live]] > lcp[live])]
+    first = (lcp > 0) & ((before < 0) | (lcp[before] < lcp))
+    intervals = np.zeros(n, np.int64)
+    intervals[order[1:][first]] = 1
+    return longest, intervals
 
 
 def covered(begin: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
@@ -118,13 +124,13 @@ def measure(texts: list[str], min_repeat: int = MIN_REPEAT) -> dict[str, np.ndar
     again = np.zeros(len(lines), bool)
     again[1:] = (lines[order][1:] == lines[order][:-1]) & (line_text[order][1:] == line_text[order][:-1])
     out["n_dup_lines"] = counts_by(line_text[order][again], n)
-    longest, rises = repeats(hasher(begin, end).view(np.int64), text)
+    longest, intervals = repeats(hasher(begin, end).view(np.int64), text)
     total = len(longest)
     at = np.flatnonzero(longest >= WINDOW)
     out["n_repeat_words"] = counts_by(text[covered(at, np.full(len(at), WINDOW), total)], n)
     at = np.flatnonzero(longest >= min_repeat)
     out["covered_words"] = counts_by(text[covered(at, longest[at], total)], n)
-    out["n_repeated_substrings"] = counts_by(text, n, rises)
+    out["n_repeated_substrings"] = counts_by(text, n, intervals)
     out["longest_repeat"] = np.zeros(n, np.int64)
     np.maximum.at(out["longest_repeat"], text, longest)
     return out

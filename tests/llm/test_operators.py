@@ -278,7 +278,6 @@ def test_gif_disposal_and_transparency():
         gif_media.Frame(0, 0, 2, 1, b"\0\0", palette, disposal=1), gif_media.Frame(0, 0, 2, 1, b"\0\1", palette, disposal=3, transparent=0),
         gif_media.Frame(1, 0, 1, 1, b"\1", palette, disposal=2), gif_media.Frame(0, 0, 1, 1, b"\1", palette),
     ]
-    gif_media.compose_frames(2, 1, frames)
-    shown = [[tuple(p[:3].tolist()) if p[3] else None for p in f.canvas[0]] for f in frames]
+    shown = [[tuple(p[:3].tolist()) if p[3] else None for p in canvas[0]] for canvas in gif_media.shown((2, 1), frames)]
     r, g = (255, 0, 0), (0, 255, 0)
     assert shown == [[r, r], [r, g], [r, g], [g, None]]
