@@ -6,11 +6,14 @@ first |y| - t + l of the other share at least l; here t is the least overlap tha
 size allows.  Each document chooses its l: a longer prefix asks for more shared shingles, which
 pays where its prefix holds shingles that many documents have.  A pair is a candidate if its
 prefixes share at least the smaller l of the two, and candidates are verified on whole sets.
+The k-th shared shingle has k - 1 before it, and so leaves room for t only if it stands early
+enough in both sets; shared shingles that don't, with l for k, needn't be counted.
 
 Of a pair, call the document whose prefix ends first in the global order the earlier one.  A
 shingle of its prefix that is in no other document's prefix isn't in the other set at all, so
 what both sets share is at most the earlier one's listed shingles and those beyond its prefix.
-With shingles counted well that leaves few pairs that aren't links.
+Nor does the earlier one have the later one's unlisted shingles of frequency 1, if its prefix goes
+beyond that frequency.  With shingles counted well that leaves few pairs that aren't links.
 
 Equal sets are one representative from the start.  What is wanted are classes, so no pair whose
 ends are already in one class is looked at again: first each document is verified against the
@@ -38,6 +41,8 @@ COUNTED = 1 << 21
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: Other documents that the cost estimate expects for a shingle not among the frequent ones.
 UNSEEN = 0.2
+#: What verifying a pair costs for each shingle of a set, a meeting of two documents in a list being 1.
+VERIFYING = 1 / 256
 #: Documents of a frequent shingle in one list, and pairs of a document in one group, about.
 LIST_SHARE = 1_000
 #: Frequencies are found in so many classes an octave.
@@ -122,14 +127,14 @@ def choose_matches(frequency: np.ndarray, size: int, least: int) -> int:
 
     ``frequency`` has how many documents the set's shingles are in, in the global order.  Other
     documents met in the prefix are looked up, and at most a matches-th of them can be met that
-    often, to be verified at the cost of the set's size.
+    often, to be verified at a cost by the set's size.
     """
     best, cheapest = 1, None
     for matches in MATCHES:
         if matches > least:
             break
         met = float(np.maximum(frequency[: size - least + matches] - 1, UNSEEN).sum())
-        cost = met + (size - least + matches) + size * met / matches
+        cost = met + (size - least + matches) + VERIFYING * size * met / matches
         if cheapest is None or cost < cheapest:
             best, cheapest = matches, cost
     return best
@@ -155,10 +160,11 @@ def frequencies(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def prefixes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Every document with a shingle: doc_id, k1 (half of its set's fingerprint), n, matches, where its
-    prefix ends in the global order (end), and the prefix as tokens and salts.
+    prefix ends in the global order (end), how many of its shingles have frequency 1 (single), and
+    the prefix as tokens and salts.
 
     A frequent shingle's documents are split, by salts from 1 on, into lists of about
-    ``LIST_SHARE``; salt 0 is an undivided list.
+    ``LIST_SHARE``; salts 0 and, of frequency 1, -1 are undivided lists.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -188,18 +194,21 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarra
             shares = -(-frequency[at] // LIST_SHARE)
             draw = mix64(one.view(np.uint64)) >> np.uint64(33)
             salt = np.where(shares > 1, 1 + (np.repeat(draw, length) % shares.astype(np.uint64)).astype(np.int32), 0).astype(np.int32)
+            salt[frequency[at] == 1] = -1
+            single = np.concatenate([[0], np.cumsum(salt == -1)])
+            single = single[lists[1:]] - single[lists[:-1]]
             last = np.where(length > 0, bounds[:-1] + length - 1, 0)
             ends = [pa.array(x[last] if len(x) else np.zeros(len(texts), np.int64)) for x in (frequency, values)]
             columns = [
                 rows.column("doc_id"), pa.array(one), pa.array(sizes.astype(np.int32)), pa.array(matches.astype(np.int32)),
-                pa.StructArray.from_arrays(ends, ["f", "v"]),
+                pa.StructArray.from_arrays(ends, ["f", "v"]), pa.array(single.astype(np.int32)),
                 pa.ListArray.from_arrays(pa.array(lists), pa.array(values[at])),
                 pa.ListArray.from_arrays(pa.array(lists), pa.array(salt)),
             ]
-            batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "n", "matches", "end", "tokens", "salts"])
+            batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "n", "matches", "end", "single", "tokens", "salts"])
             yield batch.filter(pa.array(sizes > 0))
 
-    schema = "doc_id long, k1 long, n int, matches int, end struct<f: long, v: long>, tokens array<long>, salts array<int>"
+    schema = "doc_id long, k1 long, n int, matches int, end struct<f: long, v: long>, single int, tokens array<long>, salts array<int>"
     return arrow_map(docs.select("doc_id", "text"), cut, schema)
 
 
@@ -267,37 +276,47 @@ def enough(overlap: Column, sizes: Column, percent: int) -> Column:
 
 
 #: What a member of a list tells of its document.
-FACTS = ("doc_id", "n", "matches", "end", "rest", "most")
+FACTS = ("place", "doc_id", "n", "matches", "end", "most", "free")
 
 
 def _of(side: str) -> list[Column]:
     return [F.col(c).alias(f"{c}_{side}") for c in FACTS]
 
 
-def counted_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) that share enough prefix shingles, with how many (common), of rows that meet by one each.
+def shareable(earlier: str, later: str) -> Column:
+    """How many shingles two sets can share, by the sides of the earlier and the later one."""
+    free = F.when(F.col(f"end_{earlier}").getField("f") > 1, F.col(f"free_{later}")).otherwise(F.col(f"n_{later}"))
+    return F.least(F.col(f"most_{earlier}"), free)
 
-    Shingles in both sets are in both prefixes, or beyond the prefix that ends first.
-    """
-    earlier = F.col("end_x") <= F.col("end_y")
-    pairs = met.groupBy(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y"), "n_x", "n_y", F.least("matches_x", "matches_y").alias("asked"), F.when(earlier, F.col("rest_x")).otherwise(F.col("rest_y")).alias("rest"))
-    pairs = pairs.agg(F.count("*").alias("common"))
-    return pairs.filter((F.col("common") >= F.col("asked")) & enough(F.col("common") + F.col("rest"), F.col("n_x") + F.col("n_y"), percent))
+
+def meetings(percent: int) -> Column:
+    """Whether a row of two members of a list counts: early enough in both sets, of fitting sizes."""
+    after = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + F.least("matches_x", "matches_y") - 1
+    return alike("n_x", "n_y", percent) & enough(after, F.col("n_x") + F.col("n_y"), percent)
+
+
+def counted_pairs(met: DataFrame, *more: Column) -> DataFrame:
+    """Pairs (x, y) that meet as often as the smaller number of matches asks, with how often (common)."""
+    pairs = met.groupBy(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y"), F.least("matches_x", "matches_y").alias("asked"))
+    return pairs.agg(F.count("*").alias("common"), *more).filter(F.col("common") >= F.col("asked"))
 
 
 def list_members(cut: DataFrame, percent: int) -> Stored:
     """token, salt and ``FACTS`` of each document in a list that others are in too.
 
-    ``rest`` counts the shingles beyond the prefix; ``most`` adds those of the prefix that are
-    listed, which is what the set can share with one whose prefix ends later.
+    ``place`` counts the shingles before this one; ``most`` those that are listed or beyond the
+    prefix, which is what the set can share with one whose prefix ends later; ``free`` all but
+    unlisted ones of frequency 1.
     """
-    posted = cut.select("doc_id", F.explode(F.arrays_zip("tokens", "salts")).alias("p")).select(F.col("p.tokens").alias("token"), F.col("p.salts").alias("salt"), "doc_id")
+    posted = cut.select("doc_id", F.posexplode(F.arrays_zip("tokens", "salts")).alias("place", "p"))
+    posted = posted.select(F.col("p.tokens").alias("token"), F.col("p.salts").alias("salt"), "place", "doc_id")
     # A list of one has nobody to link with, unless it is a share of a longer list.
     lists = posted.withColumn("members", F.count("*").over(Window.partitionBy("token", "salt")))
-    lists = stored(lists.filter("members > 1 or salt > 0").select("token", "salt", "doc_id"), "lists")
-    present = lists.frame.groupBy("doc_id").agg(F.count("*").alias("listed"))
+    lists = stored(lists.filter("members > 1 or salt > 0").select("token", "salt", "place", "doc_id"), "lists")
+    present = lists.frame.groupBy("doc_id").agg(F.count("*").alias("listed"), F.count_if(F.col("salt") == -1).alias("listed_single"))
     rest = F.ceil(F.col("n") * percent / 100.0 - 1e-9).cast("int") - F.col("matches")
-    facts = cut.select("doc_id", "n", "matches", "end", rest.alias("rest")).join(present, "doc_id")
+    facts = cut.select("doc_id", "n", "matches", "end", "single", rest.alias("rest")).join(present, "doc_id")
+    facts = facts.withColumn("free", F.least(F.col("n"), F.col("n") - F.col("single") + F.col("listed_single")))
     facts = facts.withColumn("most", F.least(F.col("n"), F.col("rest") + F.col("listed")))
     members = stored(lists.frame.join(facts, "doc_id").select("token", "salt", *FACTS), "members")
     lists.drop()
@@ -305,7 +324,8 @@ def list_members(cut: DataFrame, percent: int) -> Stored:
 
 
 def star_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Each member with the head of its lists that it shares most with, and heads of one shingle with one another's first.
+    """Each member with two heads of its lists, the one that it shares most with and the one that has
+    the fewest shingles of its own; and heads of one shingle with the first of them.
 
     A list's head is the document of the smallest share of unlisted shingles: of a group of near
     copies, the one that most of the others are near to.
@@ -313,10 +333,12 @@ def star_pairs(members: DataFrame, percent: int) -> DataFrame:
     head = F.max(F.struct((F.col("most") / F.col("n")).alias("share"), (-F.col("doc_id")).alias("order"), *FACTS)).alias("h")
     heads = members.groupBy("token", "salt").agg(head)
     met = members.select("token", "salt", *_of("y")).join(heads.select("token", "salt", *(F.col(f"h.{c}").alias(f"{c}_x") for c in FACTS)), ["token", "salt"])
-    bound = F.when(F.col("end_x") <= F.col("end_y"), F.col("most_x")).otherwise(F.col("most_y"))
-    met = met.filter((F.col("doc_id_x") != F.col("doc_id_y")) & alike("n_x", "n_y", percent) & enough(bound, F.col("n_x") + F.col("n_y"), percent))
-    best = counted_pairs(met, percent).groupBy(F.col("y").alias("b")).agg(F.max(F.struct("common", (-F.col("x")).alias("x"))).alias("best"))
-    stars = best.select((-F.col("best.x")).alias("a"), "b")
+    bound = F.when(F.col("end_x") <= F.col("end_y"), shareable("x", "y")).otherwise(shareable("y", "x"))
+    met = met.filter((F.col("doc_id_x") != F.col("doc_id_y")) & meetings(percent) & enough(bound, F.col("n_x") + F.col("n_y"), percent))
+    nearest, cleanest = F.struct("common", (-F.col("x")).alias("x")), F.struct("share", "common", (-F.col("x")).alias("x"))
+    best = counted_pairs(met, F.max(F.col("most_x") / F.col("n_x")).alias("share")).groupBy(F.col("y").alias("b"))
+    best = best.agg(F.max(nearest).alias("nearest"), F.max(cleanest).alias("cleanest"))
+    stars = best.select(F.explode(F.array(-F.col("nearest.x"), -F.col("cleanest.x"))).alias("a"), "b")
     shares = heads.filter("salt > 0").select("token", F.col("h.doc_id").alias("b"), F.struct("h.share", "h.order").alias("r"))
     first = shares.groupBy("token").agg((-F.max("r").getField("order")).alias("a"))
     return stars.unionByName(shares.join(first, "token").filter("a <> b").select("a", "b")).distinct()
@@ -325,23 +347,25 @@ def star_pairs(members: DataFrame, percent: int) -> DataFrame:
 def remaining_pairs(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs (a, b) between different classes.
 
-    The earlier document of a pair must itself leave room for enough shared shingles, and the
-    later one's prefix ends no earlier than the first such document of the list; so of a list
-    whose near copies are one class by now few members are left to meet.
+    Members too late in their sets for any of their list are left out, so of a list whose near
+    copies are one class by now few are left to meet.  The earlier document of a pair must itself
+    leave room for enough shared shingles, and the later one's prefix ends no earlier than the
+    first such document of the list.
     """
     placed = members.drop("salt").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = stored(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
     lists = placed.frame.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"))
     left = placed.frame.join(lists.filter("low < high").select("token", "least"), "token")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100.0 - 1e-9))
+    left = left.filter(enough(F.col("n") - F.col("place") + F.col("matches") - 1, F.col("n") + smallest, percent))
     left = left.withColumn("able", enough(F.col("most"), F.col("n") + smallest, percent))
     ends = left.groupBy("token").agg(F.min(F.when(F.col("able"), F.col("end"))).alias("begin"), F.count("*").alias("members"))
     left = left.join(ends.filter("begin is not null"), "token").filter(F.col("end") >= F.col("begin"))
     shares = F.ceil(F.col("members") / (2 * LIST_SHARE)).cast("int")
     x = left.filter("able").select("token", F.pmod(F.xxhash64("doc_id"), shares).cast("int").alias("share"), F.col("component").alias("c_x"), *_of("x"))
     y = left.select("token", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.col("component").alias("c_y"), *_of("y"))
-    able = (F.col("c_x") != F.col("c_y")) & (F.col("end_x") <= F.col("end_y")) & alike("n_x", "n_y", percent) & enough(F.col("most_x"), F.col("n_x") + F.col("n_y"), percent)
-    pairs = counted_pairs(x.join(y, ["token", "share"]).filter(able), percent)
+    able = (F.col("c_x") != F.col("c_y")) & (F.col("end_x") <= F.col("end_y")) & meetings(percent) & enough(shareable("x", "y"), F.col("n_x") + F.col("n_y"), percent)
+    pairs = counted_pairs(x.join(y, ["token", "share"]).filter(able))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
