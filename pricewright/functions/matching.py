@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import host_of
+from .text import plain_host, port_of, scheme_of, web_address
 
 # Fixed values.
 TITLE_STOP_WORDS = ("the", "and", "with", "for")
@@ -19,8 +19,9 @@ EXCLUDED_HOSTS = (
 def parsed_price(c: Column) -> Column:
     """The amount in a price text, null unless above 0.
 
-    Of a dot and a comma the later one is the decimal mark; a lone comma is one before two closing
-    digits and else groups thousands; of several dots the last is the decimal mark.
+    Of a dot and a comma the later one is the decimal mark, which may stand once only; a lone comma
+    is one before two closing digits and else groups thousands; of several dots alone the last is
+    the decimal mark.
     """
     kept = F.regexp_replace(c, r"[^0-9.,-]", "")
     both = F.contains(kept, F.lit(".")) & F.contains(kept, F.lit(","))
@@ -30,6 +31,7 @@ def parsed_price(c: Column) -> Column:
     plain = (
         F.when(both & comma_last, european)
         .when(~both & kept.rlike(r"^[^,]*,\d{2}$"), F.replace(kept, F.lit(","), F.lit(".")))
+        .when(both, no_commas)
         .otherwise(F.regexp_replace(no_commas, r"\.(?=.*\.)", ""))
     )
     value = plain.try_cast("double")
@@ -75,6 +77,6 @@ def identity_hits(wanted: Column, haystack: Column, most: int = 5) -> Column:
 
 
 def site_base(url: Column) -> Column:
-    """Scheme, host and path without credentials, parameters, fragment and closing slashes."""
-    part = lambda name: F.coalesce(F.try_parse_url(url, F.lit(name)), F.lit(""))
-    return F.when(host_of(url).isNotNull(), F.concat(part("PROTOCOL"), F.lit("://"), F.lower(part("HOST")), F.regexp_replace(part("PATH"), "/+$", "")))
+    """Scheme, host, port and path without credentials, parameters, fragment and closing slashes."""
+    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
+    return F.when(web_address(url), F.concat(scheme_of(url), F.lit("://"), plain_host(url), port_of(url), path))

@@ -27,6 +27,11 @@ def query(sql: str | None, domain: bool = True):
     return register
 
 
+URL_PARTS = r"""WITH split AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS authority,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages),
+  parts AS (SELECT *, contains(authority, '@') AS has_user, regexp_replace(lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', '')), '\.$', '') AS host,
+    CASE WHEN regexp_extract(authority, '(:[0-9]+)$', 1) IN (CASE scheme WHEN 'http' THEN ':80' ELSE ':443' END) THEN '' ELSE regexp_extract(authority, '(:[0-9]+)$', 1) END AS port FROM split)
+"""
 SNAPSHOTS = """, real_links AS (SELECT * FROM links WHERE (match_method IS NULL OR match_method <> 'auto-generated')
   AND (competitor_id + product_id % 15) % 3 <> 0),
 snapshots AS (SELECT product_id, count(*) AS competitor_count, min(price) AS min_price, max(price) AS max_price,
@@ -187,24 +192,6 @@ def agg_price_index(d: Domain) -> DataFrame:
     return pairs.groupBy("competitor_id").agg(F.count("*").alias("pairs"), index, F.max("updated_at").alias("last_seen"))
 
 
-@query("""SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS critical, count(*) FILTER (WHERE json_extract_string(props, '$.k')::INT >= 50) AS high FROM events GROUP BY 1""", domain=False)
-def agg_alert_stats(d: Domain) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return d.table("events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "error").alias("critical"), F.count_if(k >= 50).alias("high"))
-
-
-@query("""SELECT o_orderstatus AS status, count(*) AS n, floor(sum(floor(o_totalprice * 100 + 0.5::DOUBLE)) / 100 + 0.5::DOUBLE) AS total FROM orders GROUP BY 1""", domain=False)
-def agg_rec_stats(d: Domain) -> DataFrame:
-    total = F.floor(F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5)) / 100 + 0.5).cast("double").alias("total")
-    return d.table("orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"), total)
-
-
-@query("""SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, count(*) AS n, max(recorded_at) AS last_seen FROM observations GROUP BY GROUPING SETS ((1, 2), ())""")
-def agg_extraction_metrics(d: Domain) -> DataFrame:
-    rows = d.observations.select(F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"), "recorded_at")
-    return rows.groupingSets([["returnflag", "linestatus"], []], "returnflag", "linestatus").agg(F.count("*").alias("n"), F.max("recorded_at").alias("last_seen"))
-
-
 @query("""SELECT competitor_id, bool_or(is_active) AS any_active, bool_and(is_active) AS all_active FROM links GROUP BY 1""")
 def agg_bool_or(d: Domain) -> DataFrame:
     return d.links.groupBy("competitor_id").agg(F.bool_or("is_active").alias("any_active"), F.bool_and("is_active").alias("all_active"))
@@ -215,11 +202,6 @@ def agg_distinct(d: Domain) -> DataFrame:
     return d.products.select("category", "vendor").distinct()
 
 
-@query("""SELECT product_id, competitor_id, price, updated_at, match_method FROM links""")
-def win_distinct_on(d: Domain) -> DataFrame:
-    return d.links.select("product_id", "competitor_id", "price", "updated_at", "match_method")
-
-
 CHANGES = """, steps AS (SELECT product_id, competitor_id, recorded_at, price AS new_price, lag(price) OVER (PARTITION BY product_id, competitor_id ORDER BY turn) AS previous_price FROM observations),
 changes AS (SELECT *, CASE WHEN new_price < previous_price THEN 'price_decrease' WHEN new_price > previous_price THEN 'price_increase' END AS change_type,
   CASE WHEN previous_price = 0 THEN 0 ELSE (new_price - previous_price) / previous_price * 100 END AS pct FROM steps)
@@ -272,19 +254,7 @@ def set_timeline(d: Domain) -> DataFrame:
     return history.unionByName(events).orderBy(F.desc_nulls_last("happened_at"), "kind", "entity_id")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, count(*) AS copies, min(l_extendedprice) AS winner FROM lineitem GROUP BY 1, 2, 3, 4 HAVING count(*) > 1""", domain=False)
-def theta_self_dedupe(d: Domain) -> DataFrame:
-    rows = d.table("lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return rows.agg(F.count("*").alias("copies"), F.min("l_extendedprice").alias("winner")).filter("copies > 1")
-
-
-@query("""SELECT p.product_id, coalesce(l.price, p.price) AS price, l.price IS NOT NULL AS updated FROM products p LEFT JOIN (SELECT product_id, min(price) AS price FROM links WHERE is_active GROUP BY 1) l ON l.product_id = p.product_id""")
-def update_from_join(d: Domain) -> DataFrame:
-    best = d.links.filter("is_active").groupBy("product_id").agg(F.min("price").alias("best"))
-    return d.products.join(best, "product_id", "left").select("product_id", F.coalesce("best", "price").alias("price"), F.col("best").isNotNull().alias("updated"))
-
-
-@query("""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, chr(13) || chr(10), chr(10), 'g'), '[ \t]+', ' ', 'g'))) AS content_hash FROM documents""", domain=False)
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\r\n', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')) AS content_hash FROM documents""", domain=False)
 def fn_content_hash(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
 
@@ -308,14 +278,8 @@ def fn_host_of(d: Domain) -> DataFrame:
     return d.table("pages").select("page_id", text.host_of(F.col("url")).alias("host"))
 
 
-@query(r"""SELECT page_id, 'https://' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') ||
-  CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END AS listing_url FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
-  lambda p: p <> '' AND NOT starts_with(p, 'utm_') AND split_part(p, '=', 1) NOT IN ('fbclid', 'gclid', 'ref', 'ref_')) AS kept FROM pages)""", domain=False)
+@query(URL_PARTS + r"""SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND host <> '' AND NOT has_user THEN scheme || '://' || regexp_replace(host, '^www\.', '') || port || coalesce(nullif(regexp_replace(path, '/+$', ''), ''), '/') ||
+  CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_transform(list_sort(list_transform(kept, lambda p: {'n': split_part(p, '=', 1), 'p': p})), lambda x: x.p), '&') ELSE '' END END AS listing_url FROM (SELECT *, list_filter(string_split(query, '&'),
+  lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ('fbclid', 'gclid', 'ref', 'ref_')) AS kept FROM parts)""", domain=False)
 def fn_norm_listing_url(d: Domain) -> DataFrame:
     return d.table("pages").select("page_id", text.listing_url(F.col("url")).alias("listing_url"))
-
-
-@query("""SELECT user_id, day, count(*) AS n FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day FROM events) GROUP BY 1, 2""", domain=False)
-def st_dedupe_bucket(d: Domain) -> DataFrame:
-    return d.table("events").groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"))
-

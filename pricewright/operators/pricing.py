@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matching, money, text
-from .catalog import CHANGES, SNAPSHOTS, _changes, query
+from .catalog import CHANGES, SNAPSHOTS, URL_PARTS, _changes, query
 from .domain import Domain
 
 
@@ -138,7 +138,7 @@ def fn_parse_price(d: Domain) -> DataFrame:
     return d.products.select("product_id", matching.parsed_price(shown).alias("amount"))
 
 
-@query(r"""SELECT product_id, nullif(upper(trim(vendor)), '') AS sku, regexp_replace(lower(trim(title)), '[ \t\n\r]+', ' ', 'g') AS name,
+@query(r"""SELECT product_id, nullif(upper(regexp_replace(vendor, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), '') AS sku, regexp_replace(lower(regexp_replace(title, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), '[ \t\n\x0B\f\r]+', ' ', 'g') AS name,
   sha256(concat_ws('|', user_id::VARCHAR, vendor, coalesce(floor(cost_price * 100 + 0.5::DOUBLE)::BIGINT::VARCHAR, 'none'))) AS row_key,
   regexp_replace(lower(vendor), '[^a-z0-9]', '', 'g') = regexp_replace('BRAND-13', '[^A-Z0-9]', '', 'g').lower() AS same_brand FROM products""")
 def fn_norm_sku(d: Domain) -> DataFrame:
@@ -174,8 +174,8 @@ def fn_search_queries(d: Domain) -> DataFrame:
 HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\.', '')"
 
 
-@query(rf"""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) || '://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS site_base,
-  CASE WHEN ends_with({HOST}, '.myshopify.com') THEN 'shopify' ELSE 'unknown' END AS platform, coalesce(nullif({HOST}, ''), 'unknown') AS failure_domain FROM pages""", domain=False)
+@query(URL_PARTS + r"""SELECT page_id, CASE WHEN scheme IN ('http', 'https') AND host <> '' THEN scheme || '://' || host || port || regexp_replace(path, '/+$', '') END AS site_base,
+  CASE WHEN ends_with(host, '.myshopify.com') THEN 'shopify' ELSE 'unknown' END AS platform, coalesce(nullif(regexp_replace(host, '^www\.', ''), ''), 'unknown') AS failure_domain FROM parts""", domain=False)
 def fn_site_base(d: Domain) -> DataFrame:
     url, host = F.col("url"), text.host_of(F.col("url"))
     platform = F.when(host.endswith(".myshopify.com"), "shopify").otherwise("unknown")

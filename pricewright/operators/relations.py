@@ -19,10 +19,10 @@ def join_inner_2(d: Domain) -> DataFrame:
 
 
 @query("""SELECT o.product_id, o.competitor_id, c.name, p.title, n_name AS nation, o.price, o.recorded_at FROM observations o JOIN products p ON p.product_id = o.product_id
-  JOIN competitors c ON c.competitor_id = o.competitor_id JOIN supplier ON s_suppkey = o.competitor_id JOIN nation ON n_nationkey = s_nationkey WHERE o.recorded_at >= TIMESTAMP '1998-06-01'""")
+  JOIN competitors c ON c.competitor_id = o.competitor_id JOIN supplier ON s_suppkey = o.competitor_id JOIN nation ON n_nationkey = s_nationkey""")
 def join_inner_4(d: Domain) -> DataFrame:
     places = d.table("supplier").join(d.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("competitor_id"), F.col("n_name").alias("nation"))
-    rows = d.observations.filter("recorded_at >= timestamp_ntz'1998-06-01'").join(d.competitors, "competitor_id").join(places, "competitor_id")
+    rows = d.observations.join(d.competitors, "competitor_id").join(places, "competitor_id")
     return rows.join(d.products.select("product_id", "title"), "product_id").select("product_id", "competitor_id", "name", "title", "nation", "price", "recorded_at")
 
 

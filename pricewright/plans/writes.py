@@ -19,7 +19,6 @@ def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str], keep_if_null:
     Columns ``keep_if_null`` keep the stored value where the new one is null, columns ``never``
     always do.  ``new`` has one row for each key.
     """
-    there = F.col("s._there").isNotNull() & F.col("n._there").isNotNull()
 
     def value(c: str) -> Column:
         old, latest = F.col(f"s.{c}"), F.col(f"n.{c}")
@@ -32,7 +31,7 @@ def upsert(stored: DataFrame, new: DataFrame, keys: Sequence[str], keep_if_null:
     marked = lambda df, name: df.withColumn("_there", F.lit(True)).alias(name)
     same = [F.col(f"s.{k}") == F.col(f"n.{k}") for k in keys]
     joined = marked(stored, "s").join(marked(new, "n"), same, "full_outer")
-    return joined.select(*(value(c) for c in stored.columns), there.alias("_updated")).drop("_updated")
+    return joined.select(*(value(c) for c in stored.columns))
 
 
 def insert_ignore(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
