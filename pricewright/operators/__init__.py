@@ -1,5 +1,5 @@
 """Reference queries, each a DataFrame plan with its oracle; importing registers them all."""
 
-from . import boards, catalog, listings, pricing, relations
+from . import boards, catalog, listings, pricing, records, relations
 
-__all__ = ["boards", "catalog", "listings", "pricing", "relations"]
+__all__ = ["boards", "catalog", "listings", "pricing", "records", "relations"]
