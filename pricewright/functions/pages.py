@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import matching
@@ -196,25 +196,31 @@ def overlap(a: Column, b: Column, least: int) -> Column:
     return F.filter(a, near)
 
 
-def match_scores(title: Column, sku: Column, vendor: Column, shown: Column, shown_sku: Column, shown_vendor: Column, url: Column) -> dict[str, Column]:
-    """How a product and what a page shows agree: title, sku, model, variant and vendor, and whether they are one product."""
-    mine, theirs = matching.title_tokens(title), matching.title_tokens(shown)
-    identity = F.concat_ws(" ", shown, url, shown_sku)
-    similarity = matching.jaccard(mine, theirs)
-    same_sku = matching.equal_identifier(sku, shown_sku)
-    model = F.size(overlap(model_tokens(title), model_tokens(identity), 4)) > 0
+def match_scores(rows: DataFrame, title: str, sku: str, vendor: str, shown: str, shown_sku: str, shown_vendor: str, url: str) -> DataFrame:
+    """``rows`` with how a product and what a page shows agree, by the columns' names: title, sku, model,
+    variant and vendor, and whether they are one product.
+
+    Tokens are made once, as columns of their own, and dropped at the end.
+    """
     with_digit = lambda tokens: F.filter(tokens, lambda t: t.rlike("[0-9]"))
-    variants = with_digit(mine)
-    kept = F.size(overlap(variants, F.array_distinct(with_digit(matching.title_tokens(identity))), 3))
-    variant = F.when(F.size(variants) == 0, F.lit(1.0)).otherwise(kept / F.size(variants))
-    makers, seen = matching.title_tokens(vendor), matching.title_tokens(shown_vendor)
-    shared = F.arrays_overlap(makers, seen)
-    all_in = lambda tokens: (F.size(makers) > 0) & F.forall(makers, lambda t: F.array_contains(tokens, t))
-    agrees = (F.size(makers) == 0) | (F.size(seen) == 0) | shared | all_in(theirs)
-    confirmed = (F.size(makers) == 0) | ((F.size(seen) > 0) & shared) | all_in(theirs) | all_in(matching.title_tokens(url))
-    strong = same_sku | (similarity >= 0.82) | (model & confirmed)
-    confidence = F.greatest(similarity, F.when(same_sku, 1.0).otherwise(0.0), F.when(model & agrees, 0.93).otherwise(0.0))
-    return {
-        "title_similarity": similarity, "sku_confidence": F.when(same_sku, 1.0).otherwise(0.0), "model_exact": model, "variant_similarity": variant,
-        "vendor_matches": agrees, "vendor_confirmed": confirmed, "identity_strong": strong, "match_confidence": confidence, "is_match": strong & (variant == 1) & agrees,
-    }
+    identity = F.concat_ws(" ", shown, url, shown_sku)
+    tokens = {"_mine": title, "_theirs": shown, "_makers": vendor, "_seen": shown_vendor, "_linked": url}
+    out = rows.withColumns({name: matching.title_tokens(F.col(c)) for name, c in tokens.items()} | {"_identity": matching.title_tokens(identity), "_models": model_tokens(F.col(title)), "_models_shown": model_tokens(identity)})
+    out = out.withColumns({"_variants": with_digit(F.col("_mine")), "_variants_shown": F.array_distinct(with_digit(F.col("_identity")))})
+    mine, makers, seen, variants = (F.col(c) for c in ("_mine", "_makers", "_seen", "_variants"))
+    all_in = lambda c: (F.size(makers) > 0) & F.forall(makers, lambda t: F.array_contains(c, t))
+    kept = F.size(overlap(variants, F.col("_variants_shown"), 3))
+    out = out.withColumns({
+        "title_similarity": matching.jaccard(mine, F.col("_theirs")), "sku_confidence": F.when(matching.equal_identifier(F.col(sku), F.col(shown_sku)), 1.0).otherwise(0.0),
+        "model_exact": F.size(overlap(F.col("_models"), F.col("_models_shown"), 4)) > 0, "variant_similarity": F.when(F.size(variants) == 0, F.lit(1.0)).otherwise(kept / F.size(variants)),
+        "_shared": F.arrays_overlap(makers, seen), "_titled": all_in(F.col("_theirs")),
+    })
+    unnamed, shared, titled = F.size(makers) == 0, F.col("_shared"), F.col("_titled")
+    out = out.withColumns({"vendor_matches": unnamed | (F.size(seen) == 0) | shared | titled, "vendor_confirmed": unnamed | ((F.size(seen) > 0) & shared) | titled | all_in(F.col("_linked"))})
+    same_sku, similar, model = F.col("sku_confidence") == 1, F.col("title_similarity"), F.col("model_exact")
+    out = out.withColumns({
+        "identity_strong": same_sku | (similar >= 0.82) | (model & F.col("vendor_confirmed")),
+        "match_confidence": F.greatest(similar, F.col("sku_confidence"), F.when(model & F.col("vendor_matches"), 0.93).otherwise(0.0)),
+    })
+    out = out.withColumn("is_match", F.col("identity_strong") & (F.col("variant_similarity") == 1) & F.col("vendor_matches"))
+    return out.drop(*(c for c in out.columns if c.startswith("_")))

@@ -167,8 +167,9 @@ def er_match(d: Domain) -> DataFrame:
     shown = F.when(shop % 2 == 0, F.col("title")).otherwise(F.concat_ws(" ", "name", "own"))
     shown_vendor = F.when(shop % 3 == 0, "Brand#13").when(shop % 3 == 1, F.col("vendor"))
     shown_sku = F.when(shop % 4 == 0, F.concat(F.lower("vendor"), F.lit("-"), key))
-    scores = pages.match_scores(F.col("title"), F.concat("vendor", key), F.col("vendor"), shown, shown_sku, shown_vendor, F.concat(F.lit("https://shop.example/p/"), key))
-    return rows.select("product_id", "competitor_id", *(c.alias(name) for name, c in scores.items()))
+    rows = rows.withColumns({"shown": shown, "shown_vendor": shown_vendor, "shown_sku": shown_sku, "sku": F.concat("vendor", key), "url": F.concat(F.lit("https://shop.example/p/"), key)})
+    scored = pages.match_scores(rows, "title", "sku", "vendor", "shown", "shown_sku", "shown_vendor", "url")
+    return scored.drop("own", "title", "vendor", "name", "shown", "shown_vendor", "shown_sku", "sku", "url")
 
 
 MESSAGE = "CASE event_id % 6 WHEN 0 THEN 'Invalid API key' WHEN 1 THEN 'no  searches left' WHEN 2 THEN NULL ELSE 'failed' END"
