@@ -47,6 +47,25 @@ def checked(rows: DataFrame) -> DataFrame:
     return rows.select("title", none("sku"), price.alias("price"), F.when(cost > 0, cost).alias("cost"), none("category"), none("vendor"), refused.alias("refused"))
 
 
+def read_competitors(spark: SparkSession, path: str) -> DataFrame:
+    """(name, domain, description, faults) of a file with columns ``name`` and ``domain``; without faults a row is valid.
+
+    A domain may be given as an address.  A file without the two columns raises ``ValueError``.
+    """
+    rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    if not {"name", "domain"} <= set(rows.columns):
+        raise ValueError("the file needs columns 'name' and 'domain'")
+    cell = lambda c: F.coalesce(F.trim(c), F.lit("")) if c in rows.columns else F.lit("")
+    domain = F.regexp_replace(F.regexp_replace(cell("domain"), "^https?://", ""), "(?s)/.*$", "")
+    some = lambda c: F.nullif(c, F.lit(""))
+    read = rows.select(cell("name").alias("name"), domain.alias("domain"), F.coalesce(some(cell("description")), some(cell("desc"))).alias("description"))
+    plain = F.col("domain").rlike(r"\A[a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?\.[a-zA-Z]{2,}(\.[a-zA-Z]{2,})?\z")
+    faults = F.array_compact(F.array(
+        F.when(F.col("name") == "", "Missing name"), F.when(F.col("domain") == "", "Missing domain"), F.when((F.col("domain") != "") & ~plain, "Invalid domain")
+    ))
+    return read.withColumn("faults", faults)
+
+
 def write_csv(products: DataFrame, path: str) -> None:
     """One file a partition, each with a header; prices have two decimals."""
     shown = products.withColumn("price", F.when(F.col("price") > 0, F.format_number("price", 2)).otherwise(F.lit("Price not set")))

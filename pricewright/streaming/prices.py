@@ -53,3 +53,39 @@ def hits_in_windows(stream: DataFrame, width: str = "15 minutes", late: str = "1
     """Events of each user in windows aligned to the clock."""
     rows = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return rows.groupBy("user_id", F.window("ts", width)).agg(F.count("*").alias("hits"))
+
+
+def _anchored(width_ms: int):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, hits = state.get if state.exists else (None, 0)
+        out = []
+        for rows in [pd.concat(list(batches)).sort_values("ts", kind="stable")]:
+            for event, ts in zip(rows["event_id"], rows["ts"], strict=True):
+                at = ts.value // 1_000_000
+                if first is None or at >= first + width_ms:
+                    first, hits = at, 0
+                hits += 1
+                out.append((*key, event, ts, hits))
+        state.update((int(first), int(hits)))
+        if first + width_ms > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(int(first + width_ms))
+        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "hit"])
+
+    return step
+
+
+def anchored_hits(stream: DataFrame, key: str, width_ms: int, late: str = "1 hour") -> DataFrame:
+    """(key, event_id, ts, hit) of each event: its number in a window that opens with the key's first event after the last window.
+
+    Hit 1 opens a window of ``width_ms``: it misses a cache of that time to live, and later hits are
+    answered from it; hits above a limit are refused by a rate limit.  Events that come together are
+    taken by time; one that comes after a later one of its key counts in the open window.  Rows
+    without key or time are left out.  A key's state is dropped when the watermark passes its window.
+    """
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col("event_id").cast("long"), F.col("ts").cast("timestamp").alias("ts")).dropna(subset=["key", "ts"])
+    rows = rows.withWatermark("ts", late)
+    out = "key string, event_id long, ts timestamp, hit long"
+    return rows.groupBy("key").applyInPandasWithState(_anchored(width_ms), out, "first_ms long, hits long", "append", GroupStateTimeout.EventTimeTimeout)
