@@ -33,6 +33,9 @@ MIN_DOCS = 3
 SHARE = 0.3
 ALIKE = 0.6
 MIN_SAME = 2
+#: A wording or leaf with this part of all lines or more is hot; so at most as many are.
+HOT_KEYS = 1 << 14
+SALTS = 64
 #: The hash of a variable token.
 VARIABLE = np.uint64(0x2A2A2A2A2A2A2A2A)
 
@@ -104,12 +107,14 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS, share: float
     found = checkpointed(
         _line_rows(lines, False).groupBy("path", "wording").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
     )
+    total = found.agg(F.sum("docs")).first()[0] or 0
     leaves = found.groupBy("path").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("wordings"))
     leaves = written(leaves.filter((F.col("leaf_docs") >= min_docs) & (F.col("wordings") > 1)), "template-leaves")
+    hot_leaves = leaves.filter(F.col("leaf_docs") >= total / HOT_KEYS).select("path")
+    hot_wordings = found.groupBy("wording").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= total / HOT_KEYS).select("wording")
     # One row for each distinct wording of a leaf with several, with its tokens.
     members = (
-        _line_rows(lines, True)
-        .join(leaves.select("path", "wordings"), "path")
+        spread_join(_line_rows(lines, True), leaves.select("path", "wordings"), "path", "wording", hot_leaves)
         .groupBy("path", "wording", "wordings")
         .agg(F.first("tokens").alias("tokens"))
     )
@@ -122,19 +127,21 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS, share: float
     # A leaf's positions are as many as its lines have tokens.
     templates = constant.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("place", "top.token"))).alias("constants"))
     found_same, decided = _agreement(variable)
-    matched = members.join(templates, "path").filter((found_same >= MIN_SAME) & (found_same >= alike * decided)).select("path", "wording")
+    matched = spread_join(members, templates, "path", "wording", hot_leaves).filter((found_same >= MIN_SAME) & (found_same >= alike * decided)).select("path", "wording")
     whole = found.filter(F.col("keeper") < F.col("last")).select("wording", "keeper")
     recurring = (
         whole.withColumn("leaf", F.lit(None).cast("long"))
         .unionByName(matched.select("wording", F.lit(None).cast("long").alias("keeper"), F.col("path").alias("leaf")))
         .groupBy("wording").agg(F.min("keeper").alias("keeper"), F.min("leaf").alias("leaf"))
     )
-    hits = written(_line_rows(lines, False).select("doc_id", "wording").join(recurring, "wording"), "template-lines")
+    hits = spread_join(_line_rows(lines, False).select("doc_id", "wording"), recurring, "wording", "doc_id", hot_wordings)
+    hits = written(hits, "template-lines")
     several = hits.filter(F.col("leaf").isNotNull())
     general = several.groupBy("leaf").agg(F.count_distinct("doc_id").alias("all_docs"), F.min("doc_id").alias("first"))
     general = general.filter(F.col("all_docs") >= min_docs).select("leaf", "first")
     alone = hits.filter(F.col("leaf").isNull()).select("doc_id", "wording", "keeper")
-    return alone.unionByName(several.join(general, "leaf", "left").select("doc_id", "wording", F.least("keeper", "first").alias("keeper")))
+    placed = spread_join(several, general, "leaf", "doc_id", hot_leaves.withColumnRenamed("path", "leaf"), "left")
+    return alone.unionByName(placed.select("doc_id", "wording", F.least("keeper", "first").alias("keeper")))
 
 
 def _agreement(variable: Column) -> tuple[Column, Column]:
@@ -146,6 +153,19 @@ def _agreement(variable: Column) -> tuple[Column, Column]:
     return same, F.size(places) - both_open
 
 
+def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, which has at most one row a key: those of each hot key go to
+    ``SALTS`` tasks by the column ``by``, and its row of ``one`` to all of these.
+
+    ``hot`` has keys only, distinct and at most ``HOT_KEYS``, so it can be broadcast at any size.
+    """
+    salts = F.broadcast(hot.withColumn("salts", F.lit(SALTS)))
+    several = F.coalesce("salts", F.lit(1))
+    left = rows.join(salts, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), several)).drop("salts")
+    right = one.join(salts, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), several.cast("long") - 1))).drop("salts")
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
 def dropped_lines(docs: DataFrame, **settings) -> DataFrame:
     """doc_id and the wordings that are dropped from it, one row for each document with any."""
     hits = recurring_templates(docs, **settings).filter(F.col("doc_id") != F.col("keeper"))
