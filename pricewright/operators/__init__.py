@@ -1,5 +1,5 @@
 """Reference queries, each a DataFrame plan with its oracle; importing registers them all."""
 
-from . import boards, catalog, listings, pricing, records, relations, storefronts
+from . import boards, catalog, extraction, listings, pricing, records, relations, storefronts
 
-__all__ = ["boards", "catalog", "listings", "pricing", "records", "relations", "storefronts"]
+__all__ = ["boards", "catalog", "extraction", "listings", "pricing", "records", "relations", "storefronts"]
