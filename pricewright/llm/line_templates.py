@@ -4,8 +4,8 @@ A line's path in the tree is its number of tokens and its first ``DEPTH`` tokens
 with a digit are variable (``<*>``).  A line with fewer than ``MIN_SAME`` other tokens, or with
 more variable tokens than others, such as a row of numbers, has none: its tokens stay as they are.
 Lines on one path form a leaf.  The leaf's template has at each position the token that most of
-the leaf's distinct lines share, or none where no token has ``SHARE`` of them.  What the path
-fixes tells nothing, so a line belongs to the template by the tokens after it: ``MIN_SAME`` of
+the leaf's distinct lines share, or none where no token has ``SHARE`` of them or several have the
+most.  What the path fixes tells nothing, so a line belongs to the template by the tokens after it: ``MIN_SAME`` of
 them at least, and ``ALIKE`` of those that aren't variable in both, are the template's.  A line
 of its own wording (variable tokens aside) is a template by itself.  A wording found in a second
 document recurs, and so does a leaf's template whose lines are in at least ``MIN_DOCS`` documents
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import SpanHasher, arrow_map, chunks, code_points, line_spans, mix64, word_spans
-from .storage import checkpointed, fresh, written
+from .storage import checkpointed, fresh, stored, written
 
 DEPTH = 3
 MIN_TOKENS = 3
@@ -33,6 +33,9 @@ MIN_DOCS = 3
 SHARE = 0.3
 ALIKE = 0.6
 MIN_SAME = 2
+#: A wording or leaf with this part of all lines or more is hot; so at most as many are.
+HOT_KEYS = 1 << 14
+SALTS = 64
 #: The hash of a variable token.
 VARIABLE = np.uint64(0x2A2A2A2A2A2A2A2A)
 
@@ -70,46 +73,45 @@ def parsed_lines(texts: list[str], depth: int = DEPTH, least: int = MIN_TOKENS):
     return text, number, path.view(np.int64), wording.view(np.int64), own, bounds
 
 
-def _line_rows(docs: DataFrame, with_tokens: bool) -> DataFrame:
-    """doc_id, path and wording of each distinct wording of a document; tokens (32-bit) if asked for.
+def _line_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, path, wording and tokens (32-bit) of each distinct wording of a document.
 
-    With tokens, only lines that a general template can hold.
+    Lines that no general template can hold have no tokens.
     """
-    least = DEPTH + MIN_SAME + 1 if with_tokens else MIN_TOKENS
 
     def rows_of(batches):
         for rows, texts in chunks(batches, "text"):
-            text, _, path, wording, tokens, bounds = parsed_lines(texts, least=least)
+            text, _, path, wording, tokens, bounds = parsed_lines(texts)
             order = np.lexsort((path, wording, text))
             new = np.ones(len(order), bool)
             new[1:] = (text[order][1:] != text[order][:-1]) | (wording[order][1:] != wording[order][:-1])
             pick = np.sort(order[new])
-            columns = [rows.column("doc_id").take(pa.array(text[pick])), pa.array(path[pick]), pa.array(wording[pick])]
-            names = ["doc_id", "path", "wording"]
-            if with_tokens:
-                size = np.diff(bounds)[pick]
-                lists = np.concatenate([[0], np.cumsum(size)])
-                at = np.repeat(bounds[:-1][pick] - lists[:-1], size) + np.arange(int(lists[-1]))
-                columns.append(pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(tokens[at].astype(np.uint32).view(np.int32))))
-                names.append("tokens")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            size = np.diff(bounds)[pick]
+            size[size < DEPTH + MIN_SAME + 1] = 0
+            lists = np.concatenate([[0], np.cumsum(size)])
+            at = np.repeat(bounds[:-1][pick] - lists[:-1], size) + np.arange(int(lists[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(tokens[at].astype(np.uint32).view(np.int32)))
+            columns = [rows.column("doc_id").take(pa.array(text[pick])), pa.array(path[pick]), pa.array(wording[pick]), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "path", "wording", "tokens"])
 
-    schema = "doc_id long, path long, wording long" + (", tokens array<int>" if with_tokens else "")
-    return arrow_map(docs.select("doc_id", "text"), rows_of, schema)
+    return arrow_map(docs.select("doc_id", "text"), rows_of, "doc_id long, path long, wording long, tokens array<int>")
 
 
 def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, alike: float = ALIKE) -> DataFrame:
     """(doc_id, wording, keeper) of every line whose template recurs: keeper is the doc_id that keeps it."""
-    lines = docs.filter(F.col("doc_id").isNotNull())
+    parsed = stored(_line_rows(docs.filter(F.col("doc_id").isNotNull())), "parsed-lines")
+    lines = parsed.frame
     found = checkpointed(
-        _line_rows(lines, False).groupBy("path", "wording").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
+        lines.groupBy("path", "wording").agg(F.count("*").alias("docs"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
     )
+    total = found.agg(F.sum("docs")).first()[0] or 0
     leaves = found.groupBy("path").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("wordings"))
     leaves = written(leaves.filter((F.col("leaf_docs") >= min_docs) & (F.col("wordings") > 1)), "template-leaves")
+    hot_leaves = leaves.filter(F.col("leaf_docs") >= total / HOT_KEYS).select("path")
+    hot_wordings = found.groupBy("wording").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= total / HOT_KEYS).select("wording")
     # One row for each distinct wording of a leaf with several, with its tokens.
     members = (
-        _line_rows(lines, True)
-        .join(leaves.select("path", "wordings"), "path")
+        spread_join(lines.select("path", "wording", "tokens").filter(F.size("tokens") > 0), leaves.select("path", "wordings"), "path", "wording", hot_leaves)
         .groupBy("path", "wording", "wordings")
         .agg(F.first("tokens").alias("tokens"))
     )
@@ -118,23 +120,28 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS, share: float
     cells = members.select("path", "wordings", F.posexplode("tokens").alias("place", "token")).filter((F.col("token") != variable) & (F.col("place") >= DEPTH))
     cells = cells.groupBy("path", "place", "token", "wordings").agg(F.count("*").alias("n"))
     cells = cells.filter(F.col("n") >= F.greatest(F.lit(2), F.col("wordings") * share))
-    constant = cells.groupBy("path", "place").agg(F.max(F.struct("n", "token")).alias("top"))
+    # Of tokens found in equally many lines none is the position's.
+    first, last = F.max(F.struct("n", "token")).alias("top"), F.max(F.struct("n", (-F.col("token").cast("long")).alias("token"))).alias("tied")
+    constant = cells.groupBy("path", "place").agg(first, last).filter(F.col("top.token") == -F.col("tied.token"))
     # A leaf's positions are as many as its lines have tokens.
     templates = constant.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("place", "top.token"))).alias("constants"))
     found_same, decided = _agreement(variable)
-    matched = members.join(templates, "path").filter((found_same >= MIN_SAME) & (found_same >= alike * decided)).select("path", "wording")
+    matched = spread_join(members, templates, "path", "wording", hot_leaves).filter((found_same >= MIN_SAME) & (found_same >= alike * decided)).select("path", "wording")
     whole = found.filter(F.col("keeper") < F.col("last")).select("wording", "keeper")
     recurring = (
         whole.withColumn("leaf", F.lit(None).cast("long"))
         .unionByName(matched.select("wording", F.lit(None).cast("long").alias("keeper"), F.col("path").alias("leaf")))
         .groupBy("wording").agg(F.min("keeper").alias("keeper"), F.min("leaf").alias("leaf"))
     )
-    hits = written(_line_rows(lines, False).select("doc_id", "wording").join(recurring, "wording"), "template-lines")
+    hits = spread_join(lines.select("doc_id", "wording"), recurring, "wording", "doc_id", hot_wordings)
+    hits = written(hits, "template-lines")
+    parsed.drop()
     several = hits.filter(F.col("leaf").isNotNull())
     general = several.groupBy("leaf").agg(F.count_distinct("doc_id").alias("all_docs"), F.min("doc_id").alias("first"))
     general = general.filter(F.col("all_docs") >= min_docs).select("leaf", "first")
     alone = hits.filter(F.col("leaf").isNull()).select("doc_id", "wording", "keeper")
-    return alone.unionByName(several.join(general, "leaf", "left").select("doc_id", "wording", F.least("keeper", "first").alias("keeper")))
+    placed = spread_join(several, general, "leaf", "doc_id", hot_leaves.withColumnRenamed("path", "leaf"), "left")
+    return alone.unionByName(placed.select("doc_id", "wording", F.least("keeper", "first").alias("keeper")))
 
 
 def _agreement(variable: Column) -> tuple[Column, Column]:
@@ -146,19 +153,33 @@ def _agreement(variable: Column) -> tuple[Column, Column]:
     return same, F.size(places) - both_open
 
 
+def spread_join(rows: DataFrame, one: DataFrame, key: str, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, which has at most one row a key: those of each hot key go to
+    ``SALTS`` tasks by the column ``by``, and its row of ``one`` to all of these.
+
+    ``hot`` has keys only, distinct and at most ``HOT_KEYS``, so it can be broadcast at any size.
+    """
+    salts = F.broadcast(hot.withColumn("salts", F.lit(SALTS)))
+    several = F.coalesce("salts", F.lit(1))
+    left = rows.join(salts, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), several)).drop("salts")
+    right = one.join(salts, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), several.cast("long") - 1))).drop("salts")
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
 def dropped_lines(docs: DataFrame, **settings) -> DataFrame:
     """doc_id and the wordings that are dropped from it, one row for each document with any."""
     hits = recurring_templates(docs, **settings).filter(F.col("doc_id") != F.col("keeper"))
     return hits.groupBy("doc_id").agg(F.collect_set("wording").alias("dropped"))
 
 
-def without_lines(text: str, wordings: set[int]) -> tuple[str, int]:
-    """The text without its lines of these wordings, and how many those were."""
-    _, number, _, wording, _, _ = parsed_lines([text])
-    out = {n for n, w in zip(number.tolist(), wording.tolist(), strict=True) if w in wordings}
-    if not out:
-        return text, 0
-    return "\n".join(line for n, line in enumerate(text.split("\n")) if n not in out), len(out)
+def without_lines(texts: list[str], wordings: list[set[int]]) -> list[str]:
+    """The texts without their lines of each one's wordings."""
+    text, number, _, wording, _, _ = parsed_lines(texts)
+    out = [set() for _ in texts]
+    for t, n, w in zip(text.tolist(), number.tolist(), wording.tolist(), strict=True):
+        if w in wordings[t]:
+            out[t].add(n)
+    return ["\n".join(line for n, line in enumerate(t.split("\n")) if n not in o) if o else t for t, o in zip(texts, out, strict=True)]
 
 
 def drop_recurring_lines(docs: DataFrame, **settings) -> DataFrame:
@@ -176,9 +197,12 @@ def drop_recurring_lines(docs: DataFrame, **settings) -> DataFrame:
     def cleaned(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, wordings in enumerate(batch.column(gone).to_pylist()):
-                if wordings and texts[i] is not None:
-                    texts[i] = without_lines(texts[i], set(wordings))[0]
+            at = [i for i, wordings in enumerate(batch.column(gone).to_pylist()) if wordings and texts[i] is not None]
+            changed = []
+            for rows, part in chunks([batch.select(["text", gone]).take(pa.array(at, pa.int64()))], "text"):
+                changed += without_lines(part, [set(wordings) for wordings in rows.column(gone).to_pylist()])
+            for i, text in zip(at, changed, strict=True):
+                texts[i] = text
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)
 
