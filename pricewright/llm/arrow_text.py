@@ -35,7 +35,7 @@ def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
     asked = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
     if not 0 < asked <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root, pickled = str(Path(__file__).resolve().parents[2]), cloudpickle.dumps(function)
+    root, pickled = _packed(function)
 
     def task(batches):
         import sys
@@ -52,6 +52,30 @@ def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def _packed(function: Callable) -> tuple[str, bytes]:
+    """The folder that this package lies in and the function, for workers that don't have it on their path."""
+    return str(Path(__file__).resolve().parents[2]), cloudpickle.dumps(function)
+
+
+def arrow_groups(df: DataFrame, keys: list[str], function: Callable, schema) -> DataFrame:
+    """``applyInArrow`` by ``keys`` with what Python workers need, as in ``arrow_map``.
+
+    A group is in memory as a whole, so the keys must bound it.
+    """
+    root, pickled = _packed(function)
+
+    def task(rows):
+        import sys
+
+        from pyspark import cloudpickle
+
+        if root not in sys.path:
+            sys.path.append(root)
+        return cloudpickle.loads(pickled)(rows)
+
+    return df.groupBy(*keys).applyInArrow(task, schema)
+
+
 def memory_released() -> None:
     """Give unused memory of Arrow's pool and of the C library back to the system."""
     gc.collect()

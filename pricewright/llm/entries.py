@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, gif_media, jaccard_join, language_id, line_templates, packing, pii, quality_classifier, quality_rules, toxicity
+from . import (
+    bpe_codec, divergence, gif_media, impact_index, jaccard_join, language_id, line_templates, packing, pii, quality_classifier, quality_rules, sql,
+    toxicity,
+)
 from .storage import table
 
 
@@ -52,6 +55,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,10 +72,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_best_fit_packing, op2_pii, op3_ngram_jaccard_join, op4_line_dedup, op5_byte_bpe_codec, op6_quality_rules,
-        op7_toxicity, op8_quality_classifier, op9_language_id, op10_media_columns, pipeline,
+        op7_toxicity, op8_quality_classifier, op9_language_id, op10_media_columns, op12_source_divergence,
+        op13_lexical_search, pipeline,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
