@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe_codec, divergence, gif_media, impact_index, jaccard_join, language_id, line_templates, packing, pii, quality_classifier, quality_rules, sql,
-    toxicity,
+    tensored_minhash, toxicity,
 )
 from .storage import table
 
@@ -55,6 +55,10 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensored_minhash.minhash_components(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -72,8 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_best_fit_packing, op2_pii, op3_ngram_jaccard_join, op4_line_dedup, op5_byte_bpe_codec, op6_quality_rules,
-        op7_toxicity, op8_quality_classifier, op9_language_id, op10_media_columns, op12_source_divergence,
-        op13_lexical_search, pipeline,
+        op7_toxicity, op8_quality_classifier, op9_language_id, op10_media_columns, op11_minhash_near_dedup,
+        op12_source_divergence, op13_lexical_search, pipeline,
     )
     return {f.__name__: f for f in own}
 
