@@ -35,15 +35,23 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
-def meta_facts(content: Column) -> Column:
-    """A struct of the facts in ``META_NAMES``: of the tags of one name the first with a content, any case."""
+def meta_tags(content: Column) -> Column:
+    """Name in lower case and content of each meta tag in order."""
     tags = F.regexp_extract_all(content, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
-    named = F.transform(
-        tags,
-        lambda t: F.struct(F.lower(F.coalesce(attribute(t, "property"), attribute(t, "name"), attribute(t, "itemprop"))).alias("name"), attribute(t, "content").alias("value")),
-    )
-    value = lambda name: F.get(F.filter(named, lambda m: (m["name"] == name) & m["value"].isNotNull()), F.lit(0))["value"]
-    return F.struct(*(pages.clean_text(F.coalesce(*(value(n) for n in names))).alias(fact) for fact, names in META_NAMES.items()))
+    name = lambda t: F.lower(F.coalesce(attribute(t, "property"), attribute(t, "name"), attribute(t, "itemprop"))).alias("name")
+    return F.transform(tags, lambda t: F.struct(name(t), attribute(t, "content").alias("value")))
+
+
+def meta_fact(tags: Column, fact: str) -> Column:
+    """A fact in ``META_NAMES`` by ``meta_tags``: of the tags of one name the first with a content."""
+    value = lambda name: F.get(F.filter(tags, lambda m: (m["name"] == name) & m["value"].isNotNull()), F.lit(0))["value"]
+    return pages.clean_text(F.coalesce(*(value(n) for n in META_NAMES[fact])))
+
+
+def meta_facts(content: Column) -> Column:
+    """A struct of the facts in ``META_NAMES``."""
+    tags = meta_tags(content)
+    return F.struct(*(meta_fact(tags, fact).alias(fact) for fact in META_NAMES))
 
 
 def item_property(content: Column, name: str) -> Column:
@@ -53,10 +61,13 @@ def item_property(content: Column, name: str) -> Column:
     return pages.clean_text(F.coalesce(F.when(given != "", given), F.when(shown != "", shown)))
 
 
+#: Item properties of facts.
+ITEM_NAMES = {"title": "name", "sku": "sku", "price": "price", "currency": "priceCurrency"}
+
+
 def semantic_facts(content: Column) -> Column:
     """A struct of title, sku, price and currency by item properties."""
-    names = {"title": "name", "sku": "sku", "price": "price", "currency": "priceCurrency"}
-    return F.struct(*(item_property(content, n).alias(fact) for fact, n in names.items()))
+    return F.struct(*(item_property(content, n).alias(fact) for fact, n in ITEM_NAMES.items()))
 
 
 def jsonld_products(docs: DataFrame, key: str, content: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +51,21 @@ def _words(c: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " ")
 
 
+def normal_form(c: Column, form: str) -> Column:
+    """A Unicode normal form; only texts beyond ASCII leave the JVM for it."""
+
+    @F.pandas_udf("string")
+    def normalised(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
+
+    return F.coalesce(normalised(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
+def decomposed(c: Column) -> Column:
+    """In lower case, with letters and their accents apart, as tokens are made of."""
+    return normal_form(F.lower(c), "NFKD")
+
+
 def title_tokens(c: Column) -> Column:
     """Words of ASCII letters and digits, of two characters or more, without stop words."""
     return F.filter(_words(c), lambda t: (F.length(t) > 1) & ~t.isin(*TITLE_STOP_WORDS))

@@ -111,12 +111,20 @@ def model_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(matching.title_tokens(c), fits))
 
 
+#: White space of any script, as a character class.
+SPACES = r"[ \t\n\x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def decoded(c: Column) -> Column:
+    """With the six entities decoded, one kind after the other, and without white space at the ends."""
+    for pattern, by in ENTITIES:
+        c = F.regexp_replace(c, pattern, by)
+    return F.regexp_replace(c, rf"\A{SPACES}+|{SPACES}+\z", "")
+
+
 def clean_text(c: Column) -> Column:
     """Without tags, white space as single spaces, entities decoded; null if nothing is left."""
-    out = F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"[ \t\n\x0B\f\r   -     　﻿]+", " ")
-    for pattern, by in ENTITIES:
-        out = F.regexp_replace(out, pattern, by)
-    return F.nullif(F.trim(out), F.lit(""))
+    return F.nullif(decoded(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), f"{SPACES}+", " ")), F.lit(""))
 
 
 def not_product_url(url: Column) -> Column:
