@@ -150,17 +150,32 @@ def agg_price_summary(d: Domain) -> DataFrame:
 
 
 @query("""SELECT product_id, date_trunc('month', recorded_at)::TIMESTAMP AS month, count(*) AS n, floor(sum(floor(price * 100 + 0.5::DOUBLE)) / count(*) + 0.5::DOUBLE) / 100 AS avg_price,
-  min(price) AS min_price, max(price) AS max_price FROM observations GROUP BY 1, 2""")
-def agg_monthly_trend(d: Domain) -> DataFrame:
+  min(price) AS min_price, max(price) AS max_price FROM observations WHERE recorded_at >= (SELECT max(recorded_at) - INTERVAL 12 MONTHS FROM observations) GROUP BY 1, 2 ORDER BY 1, 2""")
+def agg_monthly_trend(d: Domain, months: int = 12) -> DataFrame:
+    """Each product's months up to the last observation of all, in order."""
+    now = d.observations.agg(F.max("recorded_at").alias("now"))
+    recent = d.observations.crossJoin(F.broadcast(now)).filter(F.col("recorded_at") >= F.col("now") - F.make_ym_interval(F.lit(0), F.lit(months)))
     month = F.date_trunc("month", "recorded_at").cast("timestamp_ntz").alias("month")
     average = F.floor(F.sum(F.floor(F.col("price") * 100 + 0.5)) / F.count("*") + 0.5).cast("double") / 100
-    return d.observations.groupBy("product_id", month).agg(F.count("*").alias("n"), average.alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    rows = recent.groupBy("product_id", month).agg(F.count("*").alias("n"), average.alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    return rows.orderBy("product_id", "month")
+
 
+#: A product's state by its market position.
+STATES = {"COMPETITIVE": "optimal", "LEADING": "underpriced", "OVERPRICED": "overpriced", "INSUFFICIENT_DATA": "alert"}
 
-@query("""SELECT category, count(*) AS products, count(*) FILTER (WHERE is_tracked) AS tracked, floor(sum(floor(price * 100 + 0.5::DOUBLE)) / count(*) + 0.5::DOUBLE) / 100 AS avg_price FROM products GROUP BY 1""")
+
+@query(SNAPSHOTS + f"""SELECT user_id, count(*) AS total, count(*) FILTER (WHERE pos = 'COMPETITIVE') AS optimal, count(*) FILTER (WHERE pos = 'LEADING') AS underpriced, count(*) FILTER (WHERE pos = 'OVERPRICED') AS overpriced,
+  count(*) FILTER (WHERE pos = 'INSUFFICIENT_DATA') AS alert, floor(sum(floor(price * 100 + 0.5::DOUBLE)) / count(*) + 0.5::DOUBLE) / 100 AS avg_price
+  FROM (SELECT user_id, price, {POSITION} AS pos FROM products p LEFT JOIN snapshots s ON p.product_id = s.product_id WHERE is_tracked) GROUP BY 1""")
 def agg_product_stats(d: Domain) -> DataFrame:
-    average = F.floor(F.sum(F.floor(F.col("price") * 100 + 0.5)) / F.count("*") + 0.5).cast("double") / 100
-    return d.products.groupBy("category").agg(F.count("*").alias("products"), F.count_if("is_tracked").alias("tracked"), average.alias("avg_price"))
+    """Each account's tracked products by state: counts of states, and their averages weighted by these."""
+    joined = d.products.filter("is_tracked").join(d.snapshots, "product_id", "left")
+    state = F.element_at(F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair)), money.position(F.col("price"), F.col("avg_price")))
+    states = joined.groupBy("user_id", state.alias("state")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("price") * 100 + 0.5)).alias("cents"))
+    counts = (F.coalesce(F.sum(F.when(F.col("state") == s, F.col("n"))), F.lit(0)).alias(s) for s in STATES.values())
+    average = F.floor(F.sum("cents") / F.sum("n") + 0.5).cast("double") / 100
+    return states.groupBy("user_id").agg(F.sum("n").alias("total"), *counts, average.alias("avg_price"))
 
 
 ACCOUNTS = """, followed AS (SELECT user_id, competitor_id, status FROM (SELECT DISTINCT user_id FROM products) CROSS JOIN competitors WHERE (competitor_id + user_id) % 3 <> 0),
@@ -184,12 +199,21 @@ def agg_competitor_stats(d: Domain) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count("*").alias("total"), *states, F.coalesce(F.sum("real"), F.lit(0)).alias("products_tracked"))
 
 
-@query("""SELECT l.competitor_id, count(*) AS pairs, round(avg(l.price / p.price) * 100, 4) AS price_index, max(l.updated_at) AS last_seen FROM links l JOIN products p ON p.product_id = l.product_id
-  WHERE l.is_active AND l.price > 0 AND p.price > 0 GROUP BY 1""")
+def _hundredths(n: str) -> str:
+    return f"CASE WHEN {n} < 0 THEN '-' ELSE '' END || (abs({n}) // 100)::VARCHAR || '.' || lpad((abs({n}) % 100)::VARCHAR, 2, '0')"
+
+
+@query(ACCOUNTS + f"""SELECT user_id, competitor_id, {_hundredths("h")} AS price_index, {_hundredths("(h - 10000)")} AS avg_price_diff, last_seen FROM (
+  SELECT o.user_id, competitor_id, floor(sum(floor(o.price / p.price * 1000000000 + 0.5::DOUBLE)::BIGINT) FILTER (WHERE o.price > 0 AND p.price > 0) / (count(*) FILTER (WHERE o.price > 0 AND p.price > 0) * 100000) + 0.5::DOUBLE)::BIGINT AS h,
+    max(updated_at) AS last_seen FROM owned o JOIN products p ON p.product_id = o.product_id WHERE is_active GROUP BY 1, 2) WHERE h IS NOT NULL""")
 def agg_price_index(d: Domain) -> DataFrame:
-    pairs = d.links.filter("is_active and price > 0").join(d.products.filter("price > 0").select("product_id", F.col("price").alias("own")), "product_id")
-    index = F.round(F.avg(F.col("price") / F.col("own")) * 100, 4).alias("price_index")
-    return pairs.groupBy("competitor_id").agg(F.count("*").alias("pairs"), index, F.max("updated_at").alias("last_seen"))
+    """How dear each competitor is for an account, in percent with two decimals as text, from ratios of nine
+    decimals; last seen by all active links, priced or not."""
+    pairs = d.links.filter("is_active").join(d.products.select("product_id", "user_id", F.col("price").alias("own")), "product_id")
+    ratio = F.when((F.col("price") > 0) & (F.col("own") > 0), F.floor(F.col("price") / F.col("own") * 1_000_000_000 + 0.5).cast("long"))
+    rows = pairs.groupBy("user_id", "competitor_id").agg(F.floor(F.sum(ratio) / (F.count(ratio) * 100_000) + 0.5).cast("long").alias("h"), F.max("updated_at").alias("last_seen"))
+    shown = lambda n: F.concat(F.when(n < 0, "-").otherwise(""), F.floor(F.abs(n) / 100).cast("string"), F.lit("."), F.lpad((F.abs(n) % 100).cast("string"), 2, "0"))
+    return rows.filter("h is not null").select("user_id", "competitor_id", shown(F.col("h")).alias("price_index"), shown(F.col("h") - 10_000).alias("avg_price_diff"), "last_seen")
 
 
 @query("""SELECT competitor_id, bool_or(is_active) AS any_active, bool_and(is_active) AS all_active FROM links GROUP BY 1""")
@@ -220,12 +244,21 @@ def win_prev_price(d: Domain) -> DataFrame:
     return _changes(d).filter("change_type is not null").drop("pct")
 
 
-@query(CHANGES + """SELECT product_id, competitor_id, recorded_at, change_type, floor(pct * 100 + 0.5::DOUBLE) / 100 AS pct, CASE WHEN abs(pct) >= 10 THEN 'high' ELSE 'medium' END AS severity
-  FROM changes WHERE change_type IS NOT NULL AND abs(pct) >= 2""")
+@query(CHANGES + """, moved AS (SELECT c.*, user_id, CASE WHEN abs(pct) >= 10 THEN 'high' ELSE 'medium' END AS severity, CASE change_type WHEN 'price_decrease' THEN user_id % 4 * 5 ELSE user_id % 3 * 8 END AS threshold,
+    CASE change_type WHEN 'price_decrease' THEN 'below' ELSE 'above' END AS condition FROM changes c JOIN products p ON p.product_id = c.product_id WHERE change_type IS NOT NULL AND abs(pct) >= 2)
+  SELECT user_id, product_id, competitor_id, recorded_at, CASE change_type WHEN 'price_decrease' THEN 'price_drop' ELSE 'price_increase' END AS alert_type, severity, condition, floor(pct * 100 + 0.5::DOUBLE) / 100 AS pct FROM moved
+  UNION ALL SELECT user_id, product_id, competitor_id, recorded_at, 'threshold', severity, condition, floor(pct * 100 + 0.5::DOUBLE) / 100 FROM moved WHERE threshold > 0 AND abs(pct) >= threshold""")
 def fn_alert_rule(d: Domain) -> DataFrame:
-    severity = F.when(F.abs("pct") >= 10, "high").otherwise("medium").alias("severity")
-    rows = _changes(d).filter(F.col("change_type").isNotNull() & (F.abs("pct") >= 2))
-    return rows.select("product_id", "competitor_id", "recorded_at", "change_type", money.round2(F.col("pct")).alias("pct"), severity)
+    """An alert for each change of 2 percent or more, and another where it reaches what its account has set
+    for drops or rises; accounts set these by their number, 0 for none."""
+    rows = _changes(d).filter(F.col("change_type").isNotNull() & (F.abs("pct") >= 2)).join(d.products.select("product_id", "user_id"), "product_id")
+    drop = F.col("change_type") == "price_decrease"
+    threshold = F.when(drop, F.col("user_id") % 4 * 5).otherwise(F.col("user_id") % 3 * 8)
+    kinds = F.array(F.when(drop, "price_drop").otherwise("price_increase"), F.when((threshold > 0) & (F.abs("pct") >= threshold), "threshold"))
+    return rows.select(
+        "user_id", "product_id", "competitor_id", "recorded_at", F.explode(F.array_compact(kinds)).alias("alert_type"), F.when(F.abs("pct") >= 10, "high").otherwise("medium").alias("severity"),
+        F.when(drop, "below").otherwise("above").alias("condition"), money.round2(F.col("pct")).alias("pct"),
+    )
 
 
 @query("""SELECT user_id, event_type, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""", domain=False)

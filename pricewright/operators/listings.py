@@ -93,13 +93,13 @@ def fn_norm_currency(d: Domain) -> DataFrame:
     return d.products.select("product_id", pages.currency(given, shown).alias("currency"))
 
 
-@query("""SELECT product_id, CASE product_id % 4 WHEN 0 THEN c / 100::DOUBLE WHEN 1 THEN (c // 100 % 1000)::DOUBLE WHEN 2 THEN (100 + c // 100 % 1000 // 10) / 100::DOUBLE END AS amount,
-  CASE product_id % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'USD' END AS currency FROM (SELECT product_id, floor(price * 100 + 0.5::DOUBLE)::BIGINT AS c FROM products WHERE price >= 1 AND price < 100000) WHERE NOT (product_id % 4 = 1 AND c // 100 % 1000 = 0)""")
+@query("""SELECT product_id, nullif(amount, 0) AS amount, CASE WHEN amount > 0 THEN CASE product_id % 4 WHEN 1 THEN 'EUR' ELSE 'USD' END END AS currency FROM (
+  SELECT product_id, CASE product_id % 4 WHEN 0 THEN c / 100::DOUBLE WHEN 1 THEN (c // 100 % 1000)::DOUBLE WHEN 2 THEN (100 + c // 100 % 1000 // 10) / 100::DOUBLE END AS amount
+  FROM (SELECT product_id, floor(price * 100 + 0.5::DOUBLE)::BIGINT AS c FROM products))""")
 def fn_parse_price_card(d: Domain) -> DataFrame:
-    """Prices written in four ways are read back; of three digits after a dot the first two count."""
-    rows = d.products.filter("price >= 1 and price < 100000").withColumn("c", F.floor(F.col("price") * 100 + 0.5).cast("long"))
+    """Prices written in four ways are read back; of three digits after a dot the first two count, and no amount is 0."""
+    rows = d.products.withColumn("c", F.floor(F.col("price") * 100 + 0.5).cast("long"))
     form, whole = F.col("product_id") % 4, F.floor(F.col("c") / 100).cast("long")
-    rows = rows.filter(~((form == 1) & (whole % 1000 == 0)))
     shown = (
         F.when(form == 0, F.concat(F.lit("from $"), whole.cast("string"), F.lit("."), F.lpad((F.col("c") % 100).cast("string"), 2, "0")))
         .when(form == 1, F.concat(F.lit("€ "), (whole % 1000).cast("string")))

@@ -107,13 +107,14 @@ STOCK = """, stocked AS (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'out_of_sto
 
 
 @query(STOCK + """SELECT product_id, competitor_id, recorded_at, CASE WHEN was <> 'out_of_stock' AND stock = 'out_of_stock' THEN 'out_of_stock' WHEN was = 'out_of_stock' AND stock = 'in_stock' THEN 'back_in_stock'
-  WHEN price < before THEN 'price_decrease' WHEN price > before THEN 'price_increase' END AS change_type FROM moved""")
+  WHEN price < before THEN 'price_decrease' WHEN price > before THEN 'price_increase' END AS change_type, price - before AS diff, CASE WHEN before = 0 THEN 0 ELSE (price - before) / before * 100 END AS pct FROM moved""")
 def fn_change(d: Domain) -> DataFrame:
-    """Availability goes before the price."""
+    """Availability goes before the price; the difference is told all the same."""
     rows = d.observations.withColumn("stock", F.when(F.col("l_returnflag") == "A", "out_of_stock").otherwise("in_stock"))
     rows = rows.withColumn("before", F.lag("price").over(d.turns)).withColumn("was", F.lag("stock").over(d.turns))
     kind = money.change_kind(F.col("before"), F.col("price"), F.col("was"), F.col("stock"))
-    return rows.select("product_id", "competitor_id", "recorded_at", kind.alias("change_type"))
+    percent = money.change_percent(F.col("before"), F.col("price")).alias("pct")
+    return rows.select("product_id", "competitor_id", "recorded_at", kind.alias("change_type"), (F.col("price") - F.col("before")).alias("diff"), percent)
 
 
 @query("SELECT event_id, greatest(0::DOUBLE, least(1::DOUBLE, value / 100)) AS score, least(60000::DOUBLE, 1000 * pow(2, event_id % 10)) AS wait_ms FROM events", domain=False)

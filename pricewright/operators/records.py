@@ -168,30 +168,29 @@ def prj_schema_validate(d: Domain) -> DataFrame:
 @query("SELECT page_id, line, array_to_string(list_filter([lag(part) OVER w, part, lead(part) OVER w], lambda x: x IS NOT NULL), '|') AS nearby FROM (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL) WHERE line >= 0 WINDOW w AS (PARTITION BY page_id ORDER BY line)", domain=False)
 def win_nearby_lines(d: Domain) -> DataFrame:
     """Each line with the one before and the one after, within its document's array."""
-    lines = F.split("text", "\n")
-    rows = d.table("documents").filter("text is not null").select(F.col("doc_id").alias("page_id"), lines.alias("lines"), F.posexplode(lines).alias("line", "part"))
-    start, size = F.greatest(F.col("line"), F.lit(1)), F.when(F.col("line") == 0, 2).otherwise(3)
-    return rows.select("page_id", F.col("line").cast("long").alias("line"), F.array_join(F.slice("lines", start, size), "|").alias("nearby"))
+    rows = d.table("documents").filter("text is not null").select(F.col("doc_id").alias("page_id"), F.split("text", "\n").alias("lines"))
+    near = F.transform("lines", lambda part, i: F.concat_ws("|", F.get("lines", i - 1), part, F.get("lines", i + 1)))
+    return rows.select("page_id", F.posexplode(near).alias("line", "nearby")).withColumn("line", F.col("line").cast("long"))
 
 
-@boards("SELECT run_id, array_to_string(list_sort(list_distinct(list_concat(coalesce(reasons, []), coalesce(reasons, [])))), ',') AS evidence FROM runs")
+@boards("SELECT product_id, competitor_id, string_agg(DISTINCT reason, ',' ORDER BY reason) AS evidence FROM (SELECT product_id, competitor_id, unnest(reasons) AS reason FROM runs) GROUP BY 1, 2")
 def set_dedupe_evidence(d: Domain) -> DataFrame:
-    """Evidence that was found twice counts once."""
-    found = F.coalesce("reasons", F.array().cast("array<string>"))
-    return runs(d).select("run_id", F.array_join(F.array_sort(F.array_distinct(F.concat(found, found))), ",").alias("evidence"))
+    """What several runs of a listing have found counts once."""
+    found = runs(d).select("product_id", "competitor_id", F.explode("reasons").alias("reason")).distinct()
+    return found.groupBy("product_id", "competitor_id").agg(F.array_join(F.array_sort(F.collect_list("reason")), ",").alias("evidence"))
 
 
-@boards("SELECT DISTINCT product_id, competitor_id, true AS is_active FROM runs WHERE resolved UNION ALL SELECT DISTINCT product_id, competitor_id, false FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.resolved AND x.product_id = r.product_id AND x.competitor_id = r.competitor_id)")
+@boards("SELECT product_id, competitor_id, bool_or(resolved) AND product_id % 3 <> 0 AS is_active FROM runs GROUP BY 1, 2 HAVING product_id % 3 <> 0 OR product_id % 2 = 0")
 def sink_upsert_bridge(d: Domain) -> DataFrame:
-    """Connections once for each pair, active again if one of the new rows is."""
+    """Connections once for each pair, active again if one of the new rows is; stored ones that aren't sent stay."""
     pairs = runs(d).groupBy("product_id", "competitor_id").agg(F.bool_or("resolved").alias("is_active"))
     stored = pairs.filter("product_id % 2 = 0").withColumn("is_active", F.lit(False))
-    return writes.upsert(stored, pairs, ["product_id", "competitor_id"])
+    return writes.upsert(stored, pairs.filter("product_id % 3 <> 0"), ["product_id", "competitor_id"])
 
 
-@boards("SELECT user_id, rec_id, status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, rec_id DESC) AS r FROM recs) WHERE r = 1")
+@boards("SELECT user_id, rec_id, CASE WHEN user_id % 3 = 0 THEN 'old' ELSE status END AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, rec_id DESC) AS r FROM recs) WHERE r = 1 AND (user_id % 3 <> 0 OR user_id % 2 = 0)")
 def sink_upsert_proposal(d: Domain) -> DataFrame:
-    """One proposal an account, the newest, whichever was stored."""
+    """One proposal an account, the newest if one is sent, else the stored one."""
     newest = recommendations(d).withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("rec_id")))).filter("r = 1").select("user_id", "rec_id", "status")
     stored = newest.filter("user_id % 2 = 0").withColumn("status", F.lit("old"))
-    return writes.upsert(stored, newest, ["user_id"])
+    return writes.upsert(stored, newest.filter("user_id % 3 <> 0"), ["user_id"])
