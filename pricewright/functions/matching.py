@@ -66,6 +66,11 @@ def decomposed(c: Column) -> Column:
     return normal_form(F.lower(c), "NFKD")
 
 
+def comparable(c: Column) -> Column:
+    """A text for comparison: compatible forms, lower case, and single spaces for all but ASCII letters and digits."""
+    return F.trim(F.regexp_replace(F.lower(normal_form(F.coalesce(c, F.lit("")), "NFKC")), "[^a-z0-9]+", " "))
+
+
 def title_tokens(c: Column) -> Column:
     """Words of ASCII letters and digits, of two characters or more, without stop words."""
     return F.filter(_words(c), lambda t: (F.length(t) > 1) & ~t.isin(*TITLE_STOP_WORDS))

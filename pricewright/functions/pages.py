@@ -19,33 +19,33 @@ CARD_SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP"}
 COUNTRY_OF = {"USD": "US", "GBP": "GB", "EUR": "FR", "CAD": "CA", "AUD": "AU", "JPY": "JP", "BRL": "BR", "INR": "IN", "MAD": "MA"}
 COUNTRIES = ("US", "GB", "DE", "FR", "CA", "AU", "JP", "BR", "IN", "NL", "MA")
 GENERIC_TOKENS = ("4k", "5g", "8k", "bluetooth", "gb", "hd", "hz", "inch", "mah", "tb", "usb", "wifi", "wireless")
-#: Kinds of prices by words near them, the first that fits; ``@`` stands for a word's edge.
+# Kinds of prices by words near them, the first that fits, and patterns of pages.
 PRICE_KINDS = (
     ("shipping", r"shipping|delivery|postage|freight|handling"),
     ("subscription", r"subscription|subscribe|monthly|per month|/month|recurring"),
-    ("installment", r"installment|afterpay|affirm|klarna|pay in [0-9]|[0-9]+ payments?|interest-free|/mo@"),
-    ("unit", r"per unit|unit price|/[a-z]{1,3}@|@kg@|@100 ?g@"),
-    ("bundle", r"bundle|pack of|@set of|each@|together"),
+    ("installment", r"installment|afterpay|affirm|klarna|pay in [0-9]|[0-9]+ payments?|interest-free|/mo\b"),
+    ("unit", r"per unit|unit price|/[a-z]{1,3}\b|\bkg\b|\b100 ?g\b"),
+    ("bundle", r"bundle|pack of|\bset of|each\b|together"),
     ("related", r"related|recommended|you may also like|customers also"),
     ("discount", r"save|discount|you save"),
-    ("original", r"was@|old price|original price|compared? at|list price|regular price|rrp|msrp"),
-    ("sale", r"now@|sale price|special price|offer price|clearance"),
+    ("original", r"was\b|old price|original price|compared? at|list price|regular price|rrp|msrp"),
+    ("sale", r"now\b|sale price|special price|offer price|clearance"),
 )
 NOT_PRODUCT_PATHS = (
     r"/(?:search|s|collections?|categories?|category|blog|reviews?|stores?|brands?|pages?|clp|site|b|most-wished-for|shopping/pl|goto)(?:/|$)",
-    r"(?:^|/)@(?:best|review|support|manual|compare)@",
+    r"(?:^|/)\b(?:best|review|support|manual|compare)\b",
 )
 PRODUCT_PATH = r"(?i)/products?/|/dp/|/p/|/item/|/itm/|/ip/"
-JUNK_TITLE = r"(?i)@(?:review|support|manual|category|collection|best)@"
+JUNK_TITLE = r"(?i)\b(?:review|support|manual|category|collection|best)\b"
 PRICE_ON_PAGE = (
-    r"(?i)[$£€][ \t\n\r]?[0-9][0-9,.]*|[0-9][0-9,.]*[ \t\n\r]?(?:USD|EUR|GBP|CAD|AUD|MAD|JPY|CHF)@",
+    r"(?i)[$£€][ \t\n\r]?[0-9][0-9,.]*|[0-9][0-9,.]*[ \t\n\r]?(?:USD|EUR|GBP|CAD|AUD|MAD|JPY|CHF)\b",
     r"""(?i)["']price["'][ \t\n\r]*:[ \t\n\r]*["']?[0-9][0-9,.]*""",
     r"""(?i)(?:product:price:amount|itemprop=["']price["'])[^>\n]*[0-9]""",
 )
 STRUCTURED = (r"""(?is)application/ld\+json.{0,1000}"@type"[ \t\n\r]*:[ \t\n\r]*(?:"Product"|\[[^\]]*"Product")""", r"(?i)itemtype|data-product-type|product:price:amount|shopify_product")
 INTERACTION = r"(?i)add to (?:cart|bag)|buy now|select (?:options|variant)|choose (?:options|variant)|sku|availability|in stock|out of stock"
-TITLED = (r"(?i)<(?:h1|title)@[^>]*>[^<]{3,200}</(?:h1|title)>", r"(?i)og:title|twitter:title|product:title")
-ITEM_PATH = r"(?i)/(?:products?|items?|dp|p|ip|itm)@"
+TITLED = (r"(?i)<(?:h1|title)\b[^>]*>[^<]{3,200}</(?:h1|title)>", r"(?i)og:title|twitter:title|product:title")
+ITEM_PATH = r"(?i)/(?:products?|items?|dp|p|ip|itm)\b"
 ENTITIES = (("(?i)&quot;|&#34;", '"'), ("(?i)&apos;|&#39;", "'"), ("(?i)&amp;", "&"), ("(?i)&lt;", "<"), ("(?i)&gt;", ">"), ("(?i)&nbsp;", " "))
 #: Failures of a search service by message and status.
 QUOTA = r"quota|out of searches|run out of searches|no[ \t\n\r]+searches|searches?[ \t\n\r]+(?:left|limit|exhausted|remaining)|insufficient credits|credit limit|plan limit|monthly limit|daily limit|exhausted"
@@ -54,11 +54,16 @@ QUOTA = r"quota|out of searches|run out of searches|no[ \t\n\r]+searches|searche
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def edged(pattern: str) -> str:
+    r"""The pattern with ``\b`` by ASCII."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def found(c: Column, *patterns: str) -> Column:
     """Whether any of the patterns occurs."""
-    hit = c.rlike(patterns[0].replace("@t", "\0").replace("@", EDGE).replace("\0", "@t"))
+    hit = c.rlike(edged(patterns[0]))
     for pattern in patterns[1:]:
-        hit |= c.rlike(pattern.replace("@t", "\0").replace("@", EDGE).replace("\0", "@t"))
+        hit |= c.rlike(edged(pattern))
     return hit
 
 
@@ -67,7 +72,7 @@ def price_kind(context: Column) -> Column:
     lower = F.lower(context)
     own = F.trim(F.substring_index(lower, "|", 1))
     scan = F.when(own != "", own).otherwise(lower)
-    kind = F.when(found(scan, r"\$0(?:\.00)?@") & found(lower, "subscriber|subscription|renews|membership"), "subscription")
+    kind = F.when(found(scan, r"\$0(?:\.00)?\b") & found(lower, "subscriber|subscription|renews|membership"), "subscription")
     for name, pattern in PRICE_KINDS:
         kind = kind.when(found(scan, pattern), name)
     return kind.otherwise("current")

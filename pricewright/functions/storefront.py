@@ -7,30 +7,30 @@ from pyspark.sql import functions as F
 
 from .pages import found
 
-# Each marker's name and pattern; @ is a word's edge.
+# Each marker's name and pattern.
 MARKERS = (
-    ("shopify.theme", r"(?i)@Shopify\.theme@"),
-    ("shopify.section", r"(?i)@shopify-section@"),
+    ("shopify.theme", r"(?i)\bShopify\.theme\b"),
+    ("shopify.section", r"(?i)\bshopify-section\b"),
     ("shopify.cdn", r"(?i)cdn\.shopify\.com"),
-    ("shopify.routes", r"(?i)@Shopify\.routes@"),
-    ("woocommerce", r"(?i)@woocommerce@"),
-    ("woocommerce.ajax", r"(?i)@wc-ajax@"),
+    ("shopify.routes", r"(?i)\bShopify\.routes\b"),
+    ("woocommerce", r"(?i)\bwoocommerce\b"),
+    ("woocommerce.ajax", r"(?i)\bwc-ajax\b"),
     ("woocommerce.plugin", r"(?i)wp-content/plugins/woocommerce"),
-    ("magento.init", r"(?i)@x-magento-init@"),
-    ("magento.catalog", r"(?i)@Magento_Catalog@"),
-    ("magento.mage", r"(?i)@mage/cookies@"),
-    ("bigcommerce.stencil", r"(?i)@stencil-utils@"),
+    ("magento.init", r"(?i)\bx-magento-init\b"),
+    ("magento.catalog", r"(?i)\bMagento_Catalog\b"),
+    ("magento.mage", r"(?i)\bmage/cookies\b"),
+    ("bigcommerce.stencil", r"(?i)\bstencil-utils\b"),
     ("bigcommerce.cdn", r"(?i)cdn[0-9]*\.bigcommerce\.com"),
-    ("bigcommerce.context", r"(?i)@BigCommerce@"),
-    ("state.initial", r"(?i)@__INITIAL_STATE__@"),
-    ("state.next", r"(?i)@__NEXT_DATA__@"),
-    ("state.nuxt", r"(?i)@__NUXT__@"),
-    ("state.product", r"(?i)@__PRODUCT_STATE__@"),
-    ("state.productData", r"(?i)@productData@"),
-    ("state.selectedVariant", r"(?i)@selectedVariant(?:Id)?@"),
+    ("bigcommerce.context", r"(?i)\bBigCommerce\b"),
+    ("state.initial", r"(?i)\b__INITIAL_STATE__\b"),
+    ("state.next", r"(?i)\b__NEXT_DATA__\b"),
+    ("state.nuxt", r"(?i)\b__NUXT__\b"),
+    ("state.product", r"(?i)\b__PRODUCT_STATE__\b"),
+    ("state.productData", r"(?i)\bproductData\b"),
+    ("state.selectedVariant", r"(?i)\bselectedVariant(?:Id)?\b"),
     ("schema.product", r"""(?i)["']@type["'][ \t\n\x0B\f\r]*:[ \t\n\x0B\f\r]*["']Product["']"""),
-    ("dom.product-id", r"(?i)@data-product-id[ \t\n\x0B\f\r]*="),
-    ("dom.price", r"""(?i)@itemprop=["']price["']"""),
+    ("dom.product-id", r"(?i)\bdata-product-id[ \t\n\x0B\f\r]*="),
+    ("dom.price", r"""(?i)\bitemprop=["']price["']"""),
 )
 
 #: The software by the start of a marker's name, first match first.

@@ -11,9 +11,8 @@ from .domain import Domain
 
 
 def sql_pattern(pattern: str) -> str:
-    """A pattern of ``pages`` in the oracle's dialect, as a quoted string."""
-    edged = pattern.replace("@t", "\0").replace("@", r"\b").replace("\0", "@t")
-    return "'" + edged.replace("'", "''") + "'"
+    """A pattern as a quoted string of the oracle's."""
+    return "'" + pattern.replace("'", "''") + "'"
 
 
 def sql_found(c: str, *patterns: str) -> str:
@@ -48,7 +47,7 @@ def fn_page_has_price(d: Domain) -> DataFrame:
 
 @query(URL_PARTS + rf"""SELECT page_id, CASE WHEN {VETO} THEN 'non_product' WHEN structured AND many <= 1 THEN 'confirmed_product' WHEN many > 1 AND NOT (titled AND acts AND priced AND item) THEN 'non_product'
   WHEN (titled OR item) AND (acts OR priced) THEN 'probable_product' ELSE 'non_product' END AS page_class FROM (SELECT p.*, regexp_replace(host, '^www\.', '') AS h, len(regexp_extract_all(html, '(?i)"@type"[ \t\n\r]*:[ \t\n\r]*"?Product\b')) AS many,
-    {sql_found('html', pages.STRUCTURED[0].replace('@type', '@type'), pages.STRUCTURED[1])} AS structured, {sql_found('html', pages.INTERACTION)} AS acts, {sql_found('html', *pages.TITLED)} AS titled, {sql_found('p.url', pages.ITEM_PATH)} AS item, {PRICED} AS priced
+    {sql_found('html', pages.STRUCTURED[0], pages.STRUCTURED[1])} AS structured, {sql_found('html', pages.INTERACTION)} AS acts, {sql_found('html', *pages.TITLED)} AS titled, {sql_found('p.url', pages.ITEM_PATH)} AS item, {PRICED} AS priced
     FROM parts p JOIN pages q ON q.page_id = p.page_id)""", domain=False)
 def fn_classify_page(d: Domain) -> DataFrame:
     return d.table("pages").select("page_id", pages.page_class(F.col("html"), F.col("url")).alias("page_class"))

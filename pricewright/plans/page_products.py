@@ -22,7 +22,7 @@ MISSING = ("missing_product_identity", "missing_price", "missing_currency")
 BLOCKING = ("variant_ambiguity", "price_conflict", "product_conflict")
 PRICE_IN_TEXT = r"(?i)((?:[$€£¥]\s*)[0-9][0-9.,]*|[0-9][0-9.,]*\s?(?:USD|EUR|GBP|CAD|AUD|MAD|JPY|CHF)" + pages.EDGE + ")"
 IDENTIFIER = (
-    r"(?i)@(?:sku|model|mpn|item\s*(?:number|no\.?|#)|product\s*(?:code|number|no\.?|#)|part\s*(?:number|no\.?|#))@"
+    r"(?i)\b(?:sku|model|mpn|item\s*(?:number|no\.?|#)|product\s*(?:code|number|no\.?|#)|part\s*(?:number|no\.?|#))\b"
 )
 PRODUCT_PATH, SKU_PATH = r"/(?:products?|p|dp|item|itm)[/_-]", r"(?:^|[-_])sku[-_]"
 TWO_PRICES = "sale|save|regular|was|now|compare|msrp|off"
