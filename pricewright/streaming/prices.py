@@ -89,3 +89,42 @@ def anchored_hits(stream: DataFrame, key: str, width_ms: int, late: str = "1 hou
     rows = rows.withWatermark("ts", late)
     out = "key string, event_id long, ts timestamp, hit long"
     return rows.groupBy("key").applyInPandasWithState(_anchored(width_ms), out, "first_ms long, hits long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _cooling(width_ms: int):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else 0
+        out = []
+        for rows in [pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")]:
+            for event, ts, failure in zip(rows["event_id"], rows["ts"], rows["failure"], strict=True):
+                at = ts.value // 1_000_000
+                if at < until:
+                    out.append((*key, event, ts, "refused"))
+                    continue
+                if failure == "quota_exhausted":
+                    until = at + width_ms
+                out.append((*key, event, ts, "sent"))
+        if until:
+            state.update((int(until),))
+            if until > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(int(until))
+        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "outcome"])
+
+    return step
+
+
+def cooldowns(stream: DataFrame, key: str, width_ms: int, late: str = "1 hour") -> DataFrame:
+    """(key, event_id, ts, outcome) of each request (key, event_id, ts, failure) to a service with a quota.
+
+    A sent request that finds the quota exhausted closes the service to its key for ``width_ms``; what
+    is asked until then is refused and opens nothing anew.  Requests that come together are taken by
+    time; a late one is refused if it falls before the end of the last known cooldown.  Rows without
+    key or time are left out.  A key's state is dropped when the watermark passes its cooldown.
+    """
+    columns = (F.col("event_id").cast("long"), F.col("ts").cast("timestamp").alias("ts"), F.col("failure").cast("string"))
+    rows = stream.select(F.col(key).cast("string").alias("key"), *columns).dropna(subset=["key", "ts"]).withWatermark("ts", late)
+    out = "key string, event_id long, ts timestamp, outcome string"
+    return rows.groupBy("key").applyInPandasWithState(_cooling(width_ms), out, "until_ms long", "append", GroupStateTimeout.EventTimeTimeout)
