@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import extraction
+from ..functions import extraction, reduction
 from .catalog import query
 from .domain import Domain
 
@@ -61,3 +61,18 @@ def ex_jsonld(d: Domain) -> DataFrame:
 def ex_scripts(d: Domain) -> DataFrame:
     found = d.table("pages").select("page_id", extraction.scripts(F.col("html")).alias("scripts"))
     return found.select("page_id", F.size("scripts").cast("long").alias("n_scripts"), F.sha2(F.array_join("scripts.body", "\n"), 256).alias("body_hash"))
+
+
+_CLEAN = "regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]+', ' ', 'g')"
+
+
+@query(f"""SELECT page_id, sha256(left(array_to_string(list_distinct_in_order, chr(10)), 2000)) AS short_hash FROM (
+  SELECT page_id, list_filter(parts, lambda x, i: list_position(parts, x) = i) AS list_distinct_in_order FROM (
+  SELECT page_id, list_concat(CASE WHEN len(meta) > 0 THEN [array_to_string(meta[1:30], chr(10))] ELSE [] END, CASE WHEN len(telling) > 0 THEN telling ELSE plain[1:40] END) AS parts FROM (
+  SELECT *, list_filter(plain, lambda s: regexp_matches(s, '{reduction.RELEVANT}')) AS telling FROM (
+  SELECT page_id, regexp_extract_all(html, '{reduction.META}') AS meta, list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', ' ', 'g'), '{reduction.STYLE}', ' ', 'g'), '\\r?\\n'),
+    lambda s: trim({_CLEAN.format("s")})), lambda s: s <> '') AS plain FROM pages))))""", domain=False)
+def fn_reduce_content(d: Domain) -> DataFrame:
+    """Each page in 2000 characters; none of the given ones has structured scripts."""
+    rows = reduction.with_reduced(d.table("pages"), "html", "short", 2_000)
+    return rows.select("page_id", F.sha2("short", 256).alias("short_hash"))
