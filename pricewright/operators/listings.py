@@ -133,15 +133,35 @@ SEARCHED = "list_distinct(list_filter(string_split(regexp_replace(lower({0}), '[
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 
 
-@query(f""", met AS (SELECT page_id, p.title, vendor, url, {TITLE} AS shown FROM pages JOIN products p ON p.product_id = page_id + 1),
-  scored AS (SELECT *, lower(concat_ws(' ', shown, url)) AS hay FROM met)
-  SELECT page_id, (least(len(list_filter({SEARCHED.format("concat_ws(' ', vendor, title)")}, lambda t: contains(hay, t))), 5) + least(2 * len(list_filter({sql_models('title')}, lambda t: contains(hay, t))), 6)
-    + CASE WHEN regexp_matches(url, '{pages.PRODUCT_PATH}') THEN 2 ELSE 0 END - CASE WHEN {sql_found('shown', pages.JUNK_TITLE)} THEN 5 ELSE 0 END)::INT AS relevance FROM scored""")
-def fn_relevance(d: Domain) -> DataFrame:
-    """Each page as a search result for the product of the next number."""
+SEARCH_HITS = f""", met AS (SELECT page_id, p.title, vendor, url, {TITLE} AS shown FROM pages JOIN products p ON p.product_id = page_id + 1),
+  scored AS (SELECT *, lower(concat_ws(' ', shown, url)) AS hay FROM met),
+  hits AS (SELECT page_id, url, (least(len(list_filter({SEARCHED.format("concat_ws(' ', vendor, title)")}, lambda t: contains(hay, t))), 5) + least(2 * len(list_filter({sql_models('title')}, lambda t: contains(hay, t))), 6)
+    + CASE WHEN regexp_matches(url, '{pages.PRODUCT_PATH}') THEN 2 ELSE 0 END - CASE WHEN {sql_found('shown', pages.JUNK_TITLE)} THEN 5 ELSE 0 END)::INT AS relevance FROM scored)
+"""
+
+
+def search_hits(d: Domain) -> DataFrame:
+    """Each page as a search result for the product of the next number: page_id, url, relevance."""
     shown = d.table("pages").select("page_id", "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("shown"), (F.col("page_id") + 1).alias("product_id"))
     rows = shown.join(d.products.select("product_id", "title", "vendor"), "product_id")
-    return rows.select("page_id", pages.relevance(F.col("title"), F.col("vendor"), F.col("url"), F.col("shown")).cast("int").alias("relevance"))
+    return rows.select("page_id", "url", pages.relevance(F.col("title"), F.col("vendor"), F.col("url"), F.col("shown")).cast("int").alias("relevance"))
+
+
+@query(SEARCH_HITS + "SELECT page_id, relevance FROM hits")
+def fn_relevance(d: Domain) -> DataFrame:
+    return search_hits(d).drop("url")
+
+
+PAGE_HOST = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)), '^www\.', '')"
+
+
+@query(SEARCH_HITS + rf"""SELECT host, page_id, relevance FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY relevance DESC, page_id) AS r FROM (SELECT page_id, relevance, {PAGE_HOST} AS host FROM hits)
+  WHERE NOT regexp_matches(host, '(^|\.)({"|".join(h.replace(".", chr(92) + ".") for h in matching.EXCLUDED_HOSTS)})$')) WHERE r = 1""")
+def win_best_per_domain(d: Domain) -> DataFrame:
+    """Each host's most relevant result, of equal ones the first page, without excluded hosts.  One aggregate, combined before the shuffle."""
+    rows = search_hits(d).withColumn("host", text.host_of(F.col("url"))).filter(~matching.excluded_host(F.col("host")))
+    best = rows.groupBy("host").agg(F.max(F.struct("relevance", (-F.col("page_id")).alias("order"))).alias("best"))
+    return best.select("host", (-F.col("best.order")).alias("page_id"), "best.relevance")
 
 
 @query(f""", met AS (SELECT product_id, competitor_id, {NAMED} AS title, vendor, CASE competitor_id % 3 WHEN 0 THEN 'Brand#13' WHEN 1 THEN vendor END AS shown_vendor, vendor || product_id::VARCHAR AS sku,

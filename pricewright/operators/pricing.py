@@ -187,11 +187,3 @@ def fn_site_base(d: Domain) -> DataFrame:
   OR regexp_matches({HOST}, '\.(youtube\.com|reddit\.com|facebook\.com|instagram\.com|twitter\.com|x\.com|pinterest\.com|tiktok\.com|wikipedia\.org|quora\.com|medium\.com)$') AS excluded FROM pages""", domain=False)
 def fn_excluded_domain(d: Domain) -> DataFrame:
     return d.table("pages").select("page_id", matching.excluded_host(text.host_of(F.col("url"))).alias("excluded"))
-
-
-@query(rf"SELECT host, page_id, url FROM (SELECT {HOST} AS host, page_id, url, row_number() OVER (PARTITION BY {HOST} ORDER BY length(url) DESC, page_id) AS r FROM pages) WHERE r = 1", domain=False)
-def win_best_per_domain(d: Domain) -> DataFrame:
-    """Each host's longest address; of equal ones the first page.  One aggregate, combined before the shuffle."""
-    rows = d.table("pages").select(text.host_of(F.col("url")).alias("host"), F.length("url").alias("rank"), (-F.col("page_id")).alias("order"), "url")
-    best = rows.groupBy("host").agg(F.max(F.struct("rank", "order", "url")).alias("best"))
-    return best.select("host", (-F.col("best.order")).alias("page_id"), "best.url")
