@@ -150,15 +150,17 @@ def agg_price_summary(d: Domain) -> DataFrame:
 
 
 @query("""SELECT product_id, date_trunc('month', recorded_at)::TIMESTAMP AS month, count(*) AS n, floor(sum(floor(price * 100 + 0.5::DOUBLE)) / count(*) + 0.5::DOUBLE) / 100 AS avg_price,
-  min(price) AS min_price, max(price) AS max_price FROM observations WHERE recorded_at >= (SELECT max(recorded_at) - INTERVAL 12 MONTHS FROM observations) GROUP BY 1, 2 ORDER BY 1, 2""")
-def agg_monthly_trend(d: Domain, months: int = 12) -> DataFrame:
-    """Each product's months up to the last observation of all, in order."""
-    now = d.observations.agg(F.max("recorded_at").alias("now"))
-    recent = d.observations.crossJoin(F.broadcast(now)).filter(F.col("recorded_at") >= F.col("now") - F.make_ym_interval(F.lit(0), F.lit(months)))
+  min(price) AS min_price, max(price) AS max_price FROM observations GROUP BY 1, 2 ORDER BY 1, 2""")
+def agg_monthly_trend(d: Domain, months: int | None = None) -> DataFrame:
+    """Each product's months in order: all of them, or with `months` those of observations so far back from the last of all."""
+    rows = d.observations
+    if months is not None:
+        now = rows.agg(F.max("recorded_at").alias("now"))
+        rows = rows.crossJoin(F.broadcast(now)).filter(F.col("recorded_at") >= F.col("now") - F.make_ym_interval(F.lit(0), F.lit(months)))
     month = F.date_trunc("month", "recorded_at").cast("timestamp_ntz").alias("month")
     average = F.floor(F.sum(F.floor(F.col("price") * 100 + 0.5)) / F.count("*") + 0.5).cast("double") / 100
-    rows = recent.groupBy("product_id", month).agg(F.count("*").alias("n"), average.alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
-    return rows.orderBy("product_id", "month")
+    trend = rows.groupBy("product_id", month).agg(F.count("*").alias("n"), average.alias("avg_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+    return trend.orderBy(F.asc_nulls_last("product_id"), F.asc_nulls_last("month"))
 
 
 #: A product's state by its market position.

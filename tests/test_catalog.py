@@ -1,5 +1,6 @@
 """Every query with an oracle has DuckDB's rows."""
 
+import datetime as dt
 import math
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import text as texts
 from pricewright.operators import catalog
+from pricewright.operators.domain import Domain
 
 DATA = "/root/testdata/sf0.001"
 
@@ -77,3 +79,31 @@ def test_completed_aggregates_cover_all_accounts(spark):
     summary = catalog.QUERIES["agg_price_summary"](spark, DATA).collect()
     assert len(summary) == spark.read.parquet(f"{DATA}/part.parquet").count()
     assert all((r["observations"] > 0) == (r["avg_price"] > 0) and r["latest_recorded_at"] for r in summary)
+
+
+def test_monthly_trend_has_every_month_of_the_table(spark):
+    rows = catalog.QUERIES["agg_monthly_trend"](spark, DATA).collect()
+    months = "SELECT l_partkey, date_trunc('month', l_shipdate)::TIMESTAMP, count(*) FROM '{}/lineitem.parquet' WHERE l_quantity > 0 GROUP BY 1, 2 ORDER BY 1, 2"
+    assert [(r["product_id"], r["month"], r["n"]) for r in rows] == duckdb.sql(months.format(DATA)).fetchall()
+
+
+def test_monthly_trend_of_few_rows(spark, tmp_path):
+    """By hand: months long before the last, rows without a product or time at the end, as in the SQL, and a window where one is asked for."""
+    sold = [
+        (1, dt.datetime(1995, 3, 31, 23, 59, 59), 10.0, 10.0), (1, dt.datetime(1995, 3, 1), 40.0, 2.0), (1, dt.datetime(2000, 6, 14), 7.0, 1.0), (1, dt.datetime(2000, 6, 15), 8.0, 1.0),
+        (2, dt.datetime(2001, 6, 15), 5.0, 1.0), (2, None, 3.0, 1.0), (None, dt.datetime(1996, 1, 2), 4.0, 1.0), (2, dt.datetime(1994, 1, 2), 9.0, 0.0),
+    ]
+    lines = [(n, part, 1, 1, quantity, price, "N", "O", at) for n, (part, at, price, quantity) in enumerate(sold)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    shown = lambda frame: [(r["product_id"], r["month"], r["n"], r["avg_price"], r["min_price"], r["max_price"]) for r in frame.collect()]
+    whole = [
+        (1, dt.datetime(1995, 3, 1), 2, 10.5, 1.0, 20.0), (1, dt.datetime(2000, 6, 1), 2, 7.5, 7.0, 8.0), (2, dt.datetime(2001, 6, 1), 1, 5.0, 5.0, 5.0), (2, None, 1, 3.0, 3.0, 3.0), (None, dt.datetime(1996, 1, 1), 1, 4.0, 4.0, 4.0),
+    ]
+    assert shown(catalog.QUERIES["agg_monthly_trend"](spark, str(tmp_path))) == whole
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for table in ("part", "supplier"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    assert con.execute(catalog.ORACLE["agg_monthly_trend"]).fetchall() == whole
+    assert shown(catalog.agg_monthly_trend(Domain(spark, str(tmp_path)), months=12)) == [(1, dt.datetime(2000, 6, 1), 1, 8.0, 8.0, 8.0), (2, dt.datetime(2001, 6, 1), 1, 5.0, 5.0, 5.0)]
